@@ -30,12 +30,12 @@ def _k(expr: str) -> str:
     return f"CAST(floor({expr}) AS INT)"
 
 
-_SUPP_AREA = _k("(l_suppkey - 1) / 20E0")
-_POI_AREA = _k("(s_suppkey - 1) / 20E0")
-_STATION = _k("(o_custkey - 1) / 37E0")
-_SCITY = _k("floor((o_custkey - 1) / 37E0) / 8E0")
+_SUPP_AREA = _k("l_suppkey / 20E0")
+_POI_AREA = _k("s_suppkey / 20E0")
+_STATION = _k("o_custkey / 37E0")
+_SCITY = _k("floor(o_custkey / 37E0) / 8E0")
 _HCITY = _k("user_id / 30E0")
-_PART_AREA = _k("(p_partkey - 1) / 400E0")
+_PART_AREA = _k("p_partkey / 400E0")
 
 # First day of the derived calendar.
 EPOCH = "DATE '2024-01-01'"
@@ -53,16 +53,16 @@ ADAPTERS: dict[str, str] = {
                {_north(_SCITY)} - 0.005E0 - (({_STATION} * 37) % 440) / 1000E0 AS lat,
                {_west(_SCITY)} + 0.005E0 + (({_STATION} * 53) % 340) / 1000E0 AS lon,
                CAST(o_orderdate AS DATE) AS day,
-               CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / (count(*) * 500000E0) AS no2
+               CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / (count(*) * 500029E0) AS no2
         FROM {{orders}} GROUP BY 1, 2, 3, 4, 5""",
     "cells": f"""
         SELECT {_SUPP_AREA} AS area_id,
                {EPOCH} + CAST((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS INT) AS day,
                CAST(l_partkey % 13 AS INT) AS row, CAST(floor(l_partkey / 13E0) AS INT) % 10 AS col,
-               CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / (count(*) * 50000E0) AS no2,
-               CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) / (count(*) * 10E0) - 2.5E0 AS u10,
-               CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) * 0.6E0 / count(*) - 3E0 AS v10,
-               300E0 + CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS DOUBLE) * 100E0 / count(*) AS blh
+               CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / (count(*) * 50021E0) AS no2,
+               CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) / (count(*) * 10.007E0) - 2.5E0 AS u10,
+               CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) * 0.6007E0 / count(*) - 3E0 AS v10,
+               300E0 + CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS DOUBLE) * 100.03E0 / count(*) AS blh
         FROM {{lineitem}} GROUP BY 1, 2, 3, 4""",
     "pois": f"""
         SELECT s_suppkey AS id, s_name AS name, {_POI_AREA} AS area_id,
@@ -88,14 +88,14 @@ ADAPTERS: dict[str, str] = {
         FROM {{part}} GROUP BY 1, 2, 3""",
     "points": f"""
         SELECT c_custkey AS point_id,
-               CAST(floor((c_custkey - 1) / 300E0) AS INT) AS area_id,
-               {_north('CAST(floor((c_custkey - 1) / 300E0) AS INT)')} + 0.02E0 - ((c_custkey * 71) % 500) / 1000E0 AS lat,
-               {_west('CAST(floor((c_custkey - 1) / 300E0) AS INT)')} - 0.02E0 + ((c_custkey * 83) % 400) / 1000E0 AS lon
+               CAST(floor(c_custkey / 300E0) AS INT) AS area_id,
+               {_north('CAST(floor(c_custkey / 300E0) AS INT)')} + 0.02E0 - ((c_custkey * 71) % 500) / 1000E0 AS lat,
+               {_west('CAST(floor(c_custkey / 300E0) AS INT)')} - 0.02E0 + ((c_custkey * 83) % 400) / 1000E0 AS lon
         FROM {{customer}}""",
     "global_obs": """
         SELECT CAST(l_orderkey % 90 AS INT) AS row, CAST((l_partkey * 7 + l_suppkey) % 180 AS INT) AS col,
-               l_shipdate AS ts, l_extendedprice / 1000E0 AS no2,
-               l_discount * 5E0 AS cloud_fraction, l_quantity / 5E0 - 5E0 AS u, l_tax * 100E0 - 4E0 AS v
+               l_shipdate AS ts, l_extendedprice / 1000.3E0 AS no2,
+               l_discount * 5E0 AS cloud_fraction, l_quantity / 5.003E0 - 5E0 AS u, l_tax * 100.03E0 - 4E0 AS v
         FROM {lineitem}""",
     "haze": f"""
         SELECT {_HCITY} AS area_id, ts, CASE WHEN value < 0 THEN 0E0 ELSE (value % 100E0) / 100E0 END AS haze_index,

@@ -186,7 +186,7 @@ def prj_07(t: Tables):
 
 
 @query("jon_03_training_table", """
-WITH daily AS (SELECT concat('ST', CAST(CAST(floor((o_custkey - 1) / 37E0) AS INT) AS VARCHAR)) AS station_id,
+WITH daily AS (SELECT concat('ST', CAST(CAST(floor(o_custkey / 37E0) AS INT) AS VARCHAR)) AS station_id,
                       CAST(o_orderdate AS DATE) AS day, count(*) AS n_orders,
                       CASE WHEN count(*) % 5 = 0 THEN NULL ELSE CAST(max(o_orderkey) AS DOUBLE) END AS column_value
                FROM orders GROUP BY 1, 2),
@@ -194,7 +194,7 @@ st AS (SELECT station_id, count(*) AS n_days FROM stations_daily GROUP BY 1)
 SELECT station_id, day, round(no2, 6) AS no2, n_orders, column_value, n_days
 FROM stations_daily JOIN daily USING (station_id, day) JOIN st USING (station_id) WHERE column_value IS NOT NULL""")
 def jon_03(t: Tables):
-    k = F.concat(F.lit("ST"), F.floor((F.col("o_custkey") - 1) / 37.0).cast("int").cast("string"))
+    k = F.concat(F.lit("ST"), F.floor(F.col("o_custkey") / 37.0).cast("int").cast("string"))
     daily = t.orders.groupBy(k.alias("station_id"), F.to_date("o_orderdate").alias("day")).agg(
         F.count("*").alias("n_orders"),
         F.when(F.count("*") % 5 != 0, F.max("o_orderkey").cast("double")).alias("column_value"))
@@ -214,7 +214,7 @@ def _pred(t: Tables):
 
 _METRICS = """count(pred) AS n, round(1 - sum(pow(pred - no2, 2)) / (var_pop(no2) * count(*)), 4) AS r2,
        round(sqrt(avg(pow(pred - no2, 2))), 4) AS rmse, round(avg(abs(pred - no2)), 4) AS mae,
-       round(avg(pred - no2), 4) AS mbe, round(corr(no2, pred), 4) AS pearson_r"""
+       round(avg(pred - no2), 4) + 0 AS mbe, round(corr(no2, pred), 4) AS pearson_r"""
 
 
 @query("agg_14_regression_metrics", f"""
@@ -332,13 +332,14 @@ def agg_19(t: Tables):
 
 
 @query("top_08_suggest_city", """
-WITH u AS (SELECT DISTINCT lower(substr(c_mktsegment, 1, 2)) AS name FROM customer),
-m AS (SELECT u.name, n_name AS city FROM u JOIN nation ON contains(lower(n_name), substr(u.name, 1, 4)))
+WITH c AS (SELECT DISTINCT lower(p_name) AS city FROM part),
+u AS (SELECT DISTINCT concat(split_part(p_name, ' ', 1), 'xy') AS name FROM part),
+m AS (SELECT u.name, city FROM u JOIN c ON contains(city, substr(u.name, 1, 4)))
 SELECT name, city, rank FROM (SELECT name, city, CAST(row_number() OVER (PARTITION BY name ORDER BY city) AS INT) AS rank
                               FROM m) x WHERE rank <= 8""")
 def top_08(t: Tables):
-    cities = t.nation.select(F.col("n_name").alias("city"), F.lower("n_name").alias("key"))
-    unknown = t.customer.select(F.lower(F.substring("c_mktsegment", 1, 2)).alias("name"))
+    cities = t.part.select(F.lower("p_name").alias("city"), F.lower("p_name").alias("key")).distinct()
+    unknown = t.part.select(F.concat(F.substring_index("p_name", " ", 1), F.lit("xy")).alias("name"))
     return S.suggest_city(unknown, cities)
 
 
@@ -370,8 +371,8 @@ def agg_31(t: Tables):
 
 @query("prj_11_acceptance", f"""
 WITH {_PRED}, m AS (SELECT station_id, {_METRICS} FROM p WHERE pred IS NOT NULL GROUP BY 1)
-SELECT station_id, coalesce(r2 >= 0.6 AND rmse <= 15, false) AS passed, round((rmse - 80) / 80 * 100, 4) AS pct FROM m""")
+SELECT station_id, coalesce(r2 >= 0.6 AND rmse <= 15, false) AS passed, round((rmse - 80) / 80 * 100, 3) AS pct FROM m""")
 def prj_11(t: Tables):
     m = S.regression_metrics(_pred(t), "no2", "pred", ["station_id"]).where("n > 0")
     return m.select("station_id", bands.acceptance(r("r2"), r("rmse")).alias("passed"),
-                    r(bands.pct_vs(r("rmse"), 80.0)).alias("pct"))
+                    r(bands.pct_vs(r("rmse"), 80.0), 3).alias("pct"))

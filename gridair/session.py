@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 def local_session(cpus: str = "8", app: str = "gridair", **conf: str) -> SparkSession:
     """A local session for tests and the bench.  On a cluster, use the session you are given."""
     b = (SparkSession.builder.master(f"local[{cpus}]").appName(app)
-         .config("spark.ui.enabled", "false")
+         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
