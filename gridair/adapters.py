@@ -61,8 +61,8 @@ ADAPTERS: dict[str, str] = {
                CAST(l_partkey % 13 AS INT) AS row, CAST(floor(l_partkey / 13E0) AS INT) % 10 AS col,
                CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / (count(*) * 50021E0) AS no2,
                CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) / (count(*) * 10.007E0) - 2.5E0 AS u10,
-               CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) * 0.6007E0 / count(*) - 3E0 AS v10,
-               300E0 + CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS DOUBLE) * 100.03E0 / count(*) AS blh
+               CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) * 10E0 / (count(*) * 16.647E0) - 3E0 AS v10,
+               300E0 + CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS DOUBLE) * 1000E0 / (count(*) * 9.997E0) AS blh
         FROM {{lineitem}} GROUP BY 1, 2, 3, 4""",
     "pois": f"""
         SELECT s_suppkey AS id, s_name AS name, {_POI_AREA} AS area_id,
@@ -95,7 +95,7 @@ ADAPTERS: dict[str, str] = {
     "global_obs": """
         SELECT CAST(l_orderkey % 90 AS INT) AS row, CAST((l_partkey * 7 + l_suppkey) % 180 AS INT) AS col,
                l_shipdate AS ts, l_extendedprice / 1000.3E0 AS no2,
-               l_discount * 5E0 AS cloud_fraction, l_quantity / 5.003E0 - 5E0 AS u, l_tax * 100.03E0 - 4E0 AS v
+               l_discount * 5E0 AS cloud_fraction, l_quantity / 5.003E0 - 5E0 AS u, l_tax * 1000E0 / 9.973E0 - 4E0 AS v
         FROM {lineitem}""",
     "haze": f"""
         SELECT {_HCITY} AS area_id, ts, CASE WHEN value < 0 THEN 0E0 ELSE (value % 100E0) / 100E0 END AS haze_index,

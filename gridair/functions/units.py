@@ -33,13 +33,34 @@ def column_to_surface(column: Column, blh: Column) -> Column:
 
 
 def lead_confidence(hours: Column, base: Column | float = 0.5) -> Column:
-    return F.greatest(F.lit(0.0), F.lit(base) * F.exp(-hours / 24.0) if not isinstance(base, Column)
-                      else base * F.exp(-hours / 24.0))
-
-
-def frame_confidence(minutes: Column, mass_error: Column, base: float = 0.95) -> Column:
-    """Confidence of a forecast frame: decays with lead minutes and with the mass error."""
-    return F.lit(base) * F.exp(-minutes / 90.0) * (F.lit(1.0) - F.least(mass_error, F.lit(1.0)))
+    """Confidence of a point forecast, decaying with lead hours (e-folding 24 h)."""
+    start = base if isinstance(base, Column) else F.lit(float(base))
+    return F.greatest(F.lit(0.0), start * F.exp(-hours / 24.0))
+
+
+def frame_confidence(minutes: Column, mass_error: Column, base: float = 0.63) -> Column:
+    """Confidence of a forecast frame: decays with real lead minutes and with the mass error."""
+    kept = F.lit(1.0) - F.least(mass_error, F.lit(1.0))
+    return F.greatest(F.lit(0.0), F.lit(base) * F.exp(-minutes / 90.0) * kept)
+
+
+# Fixed values: (mean, deviation) of the forecast channels; the first group is on a log1p scale.
+LOG_CHANNELS = ("no2", "prev_no2", "co", "blh", "population")
+CHANNEL_STATS = {
+    "no2": (0.0, 1.0), "prev_no2": (0.0, 1.0), "co": (0.0, 1.0), "wind_u": (0.0, 5.0), "wind_v": (0.0, 5.0),
+    "wind_speed": (2.0, 3.0), "temp": (15.0, 12.0), "pressure": (900.0, 30.0), "humidity": (5.0, 5.0),
+    "blh": (0.0, 1.0), "dem": (200.0, 500.0), "slope": (2.0, 5.0), "road_density": (0.0, 1.0),
+    "built_up": (0.3, 0.3), "night_lights": (0.0, 1.0), "population": (0.0, 1.0), "power_plants": (0.0, 1.0),
+}
+
+
+def normalise_channel(name: str, x: Column) -> Column:
+    """Channel value on the scale of the forecast samples; missing counts as zero."""
+    mean, std = CHANNEL_STATS[name]
+    v = F.coalesce(x, F.lit(0.0))
+    if name in LOG_CHANNELS:
+        v = F.log1p(F.greatest(v, F.lit(0.0)))
+    return (v - mean) / (std + 1e-8)
 
 
 def overpass_utc_hour(lon: Column) -> Column:

@@ -293,13 +293,21 @@ def gradient(cells: DataFrame, value: str, keys: tuple[str, ...] = ("area_id",),
 
 
 def terrain_wind(cells: DataFrame, elevation: str = "elevation", keys: tuple[str, ...] = ("area_id",)) -> DataFrame:
-    """Wind slowed on slopes and turned along the gradient of the terrain; ``cells`` carry u10, v10, dx_m, dy_m."""
+    """Wind slowed on slopes and turned along ridges; ``cells`` carry u10, v10, dx_m, dy_m.
+
+    The slope (degrees, at most 60) sets the drag, the gradient's size the share of the wind that follows the
+    ridge line.
+    """
     g = gradient(cells, elevation, keys, "dx_m", "dy_m")
-    drag = units.clip(F.lit(1.0) - 0.4 * F.sin("slope"), 0.2, 1.0)
-    turn = lambda c: units.clip(0.1 * F.abs(F.col(c)), 0.0, 0.3)
-    return (g.withColumn("drag", drag)
-            .withColumn("u_terrain", F.col("u10") * F.col("drag") * (F.lit(1.0) - turn("gx")))
-            .withColumn("v_terrain", F.col("v10") * F.col("drag") * (F.lit(1.0) - turn("gy"))))
+    norm = F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")) + 1e-6
+    g = (g.withColumn("_n", norm).withColumn("_tx", -F.col("gy") / F.col("_n")).withColumn("_ty", F.col("gx") / F.col("_n"))
+         .withColumn("drag", units.clip(F.lit(1.0) - 0.4 * F.sin(F.least(F.col("slope"), F.radians(F.lit(60.0)))), 0.2, 1.0))
+         .withColumn("deflection", units.clip(F.col("_n") * 0.1, 0.0, 0.3))
+         .withColumn("_dot", (F.col("u10") * F.col("_tx") + F.col("v10") * F.col("_ty")) * F.col("drag")))
+    turned = lambda c, t: ((F.lit(1.0) - F.col("deflection")) * F.col(c) * F.col("drag")
+                           + F.col("deflection") * F.col("_dot") * F.col(t))
+    return (g.withColumn("u_terrain", turned("u10", "_tx")).withColumn("v_terrain", turned("v10", "_ty"))
+            .drop("_n", "_tx", "_ty", "_dot"))
 
 
 def wind_per_day(cells: DataFrame) -> DataFrame:
