@@ -251,9 +251,9 @@ def set_03(t: Tables):
     return levels.common_features(t.part.where("p_size > 25").select(f), t.part.where("p_retailprice < 920").select(f))
 
 
-@query("set_04_pending", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 40000)")
+@query("set_04_pending", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 150000)")
 def set_04(t: Tables):
-    return levels.pending(t.customer.select("c_custkey"), t.orders.where("o_totalprice > 40000").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    return levels.pending(t.customer.select("c_custkey"), t.orders.where("o_totalprice > 150000").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
 # --------------------------------------------------------------------------------------------- scalar functions
