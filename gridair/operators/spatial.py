@@ -71,29 +71,34 @@ def gaussian_smooth(cells: DataFrame, sigma: float, columns: dict[str, str], key
 
 
 # --------------------------------------------------------------------------------------------- nearest fill
-@F.pandas_udf("array<double>")
-def _nearest_on_line(row: pd.Series, source_rows: pd.Series, values: pd.Series) -> pd.Series:
-    """Value of the nearest valid cell for each place of a line, from the nearest valid row of each column."""
-    out = []
-    for r, sr, v in zip(row, source_rows, values, strict=True):
-        sr = np.asarray(sr, dtype="float64")
-        v = np.asarray(v, dtype="float64")
-        n = len(sr)
-        known = np.flatnonzero(np.isfinite(sr))
-        if not len(known):
-            out.append(np.full(n, np.nan))
-            continue
-        srk = sr[known].astype("int64")
-        down2 = (srk - int(r)) ** 2
-        best = np.empty(n)
-        for lo in range(0, n, 512):  # bounded work space for wide grids
-            here = np.arange(lo, min(lo + 512, n))
-            d2 = (here[:, None] - known[None, :]) ** 2 + down2[None, :]
-            tied = d2 == d2.min(axis=1, keepdims=True)
-            first = np.where(tied, srk[None, :] * (n + 1) + known[None, :], np.iinfo("int64").max).argmin(axis=1)
-            best[here] = v[known[first]]
-        out.append(best)
-    return pd.Series(out)
+def _nearest_filter():
+    """Arrow-batched lookup of the nearest valid cell along grid lines (self-contained, so that workers need only
+    numpy and pandas)."""
+
+    @F.pandas_udf("array<double>")
+    def nearest(row: pd.Series, source_rows: pd.Series, values: pd.Series) -> pd.Series:
+        out = []
+        for r, sr, v in zip(row, source_rows, values, strict=True):
+            sr = np.asarray(sr, dtype="float64")
+            v = np.asarray(v, dtype="float64")
+            n = len(sr)
+            known = np.flatnonzero(np.isfinite(sr))
+            if not len(known):
+                out.append(np.full(n, np.nan))
+                continue
+            srk = sr[known].astype("int64")
+            down2 = (srk - int(r)) ** 2
+            best = np.empty(n)
+            for lo in range(0, n, 512):  # bounded work space for wide grids
+                here = np.arange(lo, min(lo + 512, n))
+                d2 = (here[:, None] - known[None, :]) ** 2 + down2[None, :]
+                tied = d2 == d2.min(axis=1, keepdims=True)
+                first = np.where(tied, srk[None, :] * (n + 1) + known[None, :], np.iinfo("int64").max).argmin(axis=1)
+                best[here] = v[known[first]]
+            out.append(best)
+        return pd.Series(out)
+
+    return nearest
 
 
 def fill_nearest(dense: DataFrame, value: str = "no2", keys: tuple[str, ...] = DAY_KEY) -> DataFrame:
@@ -112,7 +117,7 @@ def fill_nearest(dense: DataFrame, value: str = "no2", keys: tuple[str, ...] = D
     lines = (c.groupBy(*keys, "row").agg(F.sort_array(F.collect_list(F.struct("col", F.col("_s.r").alias("r"), F.col("_s.v").alias("v")))).alias("_l"),
                                          F.count_if(F.col(value).isNull()).alias("_gaps"))
              .where(F.col("_gaps") > 0))
-    got = lines.select(*keys, "row", F.transform("_l", lambda x: x["col"]).alias("_c"), _nearest_on_line(
+    got = lines.select(*keys, "row", F.transform("_l", lambda x: x["col"]).alias("_c"), _nearest_filter()(
         "row", F.transform("_l", lambda x: x["r"].cast("double")), F.transform("_l", lambda x: x["v"])).alias("_v"))
     filled = (got.select(*keys, "row", F.explode(F.arrays_zip("_c", "_v")).alias("_z"))
               .select(*keys, "row", F.col("_z._c").alias("col"), F.nanvl(F.col("_z._v"), F.lit(None).cast("double")).alias("_near")))

@@ -265,6 +265,13 @@ def holdout_flag(df: DataFrame, keys: list[str], fraction: float = 0.1) -> DataF
 
 
 # --------------------------------------------------------------------------------------------- scores
+def pearson(x: Column, y: Column) -> Column:
+    """Correlation; null where either side does not vary."""
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    return F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))
+
+
 def _scores(obs: Column, pred: Column) -> list[Column]:
     err = pred - obs
     n = F.count(err)
@@ -275,7 +282,7 @@ def _scores(obs: Column, pred: Column) -> list[Column]:
             F.when(ok & (sst > 0), 1.0 - sse / F.nullif(sst, F.lit(0.0))).alias("r2"),
             F.when(ok, F.sqrt(sse / F.nullif(n, F.lit(0)))).alias("rmse"),
             F.when(ok, F.avg(F.abs(err))).alias("mae"), F.when(ok, F.avg(err)).alias("mbe"),
-            F.when(ok, F.corr(obs, pred)).alias("pearson_r")]
+            F.when(ok, pearson(obs, pred)).alias("pearson_r")]
 
 
 def regression_metrics(df: DataFrame, obs: str, pred: str, by: Iterable[str] = ()) -> DataFrame:
@@ -288,7 +295,7 @@ def summarize_predictions(df: DataFrame, obs: str = "no2", pred: str = "pred") -
     stations with more than five rows: one row per part."""
     rows = df.where(F.col(obs).isNotNull() & F.col(pred).isNotNull())
     means = rows.groupBy("station_id").agg(F.avg(obs).alias("_mo"), F.avg(pred).alias("_mp"),
-                                           F.count("*").alias("_n"), F.corr(obs, pred).alias("_r"))
+                                           F.count("*").alias("_n"), pearson(F.col(obs), F.col(pred)).alias("_r"))
     departures = (rows.join(means, "station_id")
                   .select((F.col(obs) - F.col("_mo")).alias("o"), (F.col(pred) - F.col("_mp")).alias("p")))
     within = exact_quantiles(means.where(F.col("_n") > 5), [], "_r", {"median_within_station_r": 0.5})
@@ -309,9 +316,10 @@ def select_model(metrics: DataFrame) -> DataFrame:
 
 def trend_slope(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Least-squares slope, its t statistic and direction (|t| > 2) per group, from one aggregation."""
-    g = df.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_sxx(y, x).alias("_sxx"),
+    g = df.groupBy(*keys).agg(F.regr_sxx(y, x).alias("_sxx"),
                               F.regr_syy(y, x).alias("_syy"), F.regr_sxy(y, x).alias("_sxy"),
                               F.regr_count(y, x).alias("n"))
+    g = g.withColumn("slope", F.col("_sxy") / F.nullif("_sxx", F.lit(0.0)))
     rss = F.greatest(F.lit(0.0), F.col("_syy") - F.col("_sxy") * F.col("slope"))
     se = F.sqrt(rss / F.greatest(F.col("n") - 2, F.lit(1)) / F.nullif("_sxx", F.lit(0.0)))
     t = F.when(se > 0, F.col("slope") / F.nullif(se, F.lit(0.0))).otherwise(F.lit(0.0))

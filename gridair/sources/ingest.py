@@ -20,7 +20,7 @@ def read_stations(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("header", True).csv(path)
     df = require_columns(raw.toDF(*[c.strip().lower() for c in raw.columns]), STATION_COLUMNS, f"station file {path}")
     return df.withColumns({"lat": F.col("lat").try_cast("double"), "lon": F.col("lon").try_cast("double"),
-                           "no2": F.col("no2").try_cast("double"), "ts": F.col("date").try_cast("timestamp")})
+                           "no2": F.col("no2").try_cast("double"), "ts": F.col("date").try_cast("timestamp_ntz")})
 
 
 def read_station_coords(spark: SparkSession, path: str) -> DataFrame:
@@ -53,7 +53,7 @@ def flatten_sensor_hours(payloads: DataFrame, payload: str = "payload") -> DataF
     complete = F.col("_j.coverage.percentComplete")
     local = F.replace(F.substring("_j.period.datetimeFrom.local", 1, 16), F.lit("T"), F.lit(" "))
     return (payloads.withColumn("_j", j).where(F.col("_j.value").isNotNull() & (complete.isNull() | (complete >= MIN_HOUR_COMPLETENESS)))
-            .select(*rest, local.alias("date"), F.try_to_timestamp(local, F.lit("yyyy-MM-dd HH:mm")).alias("ts"), F.col("_j.value").alias("no2")))
+            .select(*rest, local.alias("date"), F.try_to_timestamp(local, F.lit("yyyy-MM-dd HH:mm")).cast("timestamp_ntz").alias("ts"), F.col("_j.value").alias("no2")))
 
 
 def flatten_sensors(locations: DataFrame, parameter: int, payload: str = "payload") -> DataFrame:
@@ -76,7 +76,7 @@ def assemble_sensors(hours: DataFrame, sensors: DataFrame) -> DataFrame:
 def clean_report_rows(df: DataFrame, start: str = "from_date", value: str = "value") -> DataFrame:
     """Rows with a readable 'dd-MM-yyyy HH:mm' start and a numeric value ('NA' and blanks are dropped)."""
     rest = [c for c in df.columns if c not in (start, value)]
-    ts = F.try_to_timestamp(F.trim(start), F.lit("dd-MM-yyyy HH:mm"))
+    ts = F.try_to_timestamp(F.trim(start), F.lit("dd-MM-yyyy HH:mm")).cast("timestamp_ntz")
     return df.select(*rest, ts.alias("ts"), F.trim(F.col(value)).try_cast("double").alias("no2")).dropna(subset=["ts", "no2"])
 
 

@@ -1 +1 @@
-"""See the modules of this package."""
+"""Structured Streaming jobs; each keeps current what a table operator computes."""
