@@ -98,7 +98,7 @@ ADAPTERS: dict[str, str] = {
                l_discount * 5E0 AS cloud_fraction, l_quantity / 5.003E0 - 5E0 AS u, l_tax * 1000E0 / 9.973E0 - 4E0 AS v
         FROM {lineitem}""",
     "haze": f"""
-        SELECT {_HCITY} AS area_id, ts, CASE WHEN value < 0 THEN 0E0 ELSE (value % 100E0) / 100E0 END AS haze_index,
+        SELECT {_HCITY} AS area_id, ts, CASE WHEN value < 0 THEN 0E0 ELSE (value % 100E0) / 100.03E0 END AS haze_index,
                event_id
         FROM {{events}} WHERE value IS NOT NULL""",
     "messages": "SELECT conv_id, turn, role, text FROM {conversations}",

@@ -31,29 +31,22 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     whole = Window.partitionBy(*key_cols)
     hist = (hist.withColumn("_end", F.sum("_sn").over(running)).withColumn("_total", F.sum("_sn").over(whole))
             .withColumn("_start", F.col("_end") - F.col("_sn")))
-    # Ranks are zero based; both neighbours of every fractional rank are wanted.
-    wanted = F.array(*[
-        F.struct(F.lit(name).alias("name"), ((F.col("_total") - 1) * F.lit(float(p))).alias("rank"))
-        for name, p in probs.items()])
-    targets = (hist.withColumn("_t", F.explode(wanted))
-               .withColumn("_r", F.explode(F.array(F.floor("_t.rank"), F.ceil("_t.rank"))))
-               .where((F.col("_r") >= F.col("_start")) & (F.col("_r") < F.col("_end")))
-               .select(*key_cols, "_s", "_start", F.col("_t.name").alias("_name"),
-                       F.col("_t.rank").alias("_rank"), F.col("_r")).distinct())
-    slices = targets.select(*key_cols, "_s", "_start").distinct()
+    # Ranks are zero based; both neighbours of every fractional rank are wanted.  A slice carries the ranks that
+    # fall into it, so that slices without any never meet the values.
+    ranks = [((F.col("_total") - 1) * F.lit(float(p)), name) for name, p in probs.items()]
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), side(rank).alias("r"), (rank - F.floor(rank)).alias("frac"), F.lit(k).alias("side"))
+                       for rank, name in ranks for k, side in ((0, F.floor), (1, F.ceil))])
+    slices = (hist.withColumn("_w", F.filter(wanted, lambda t: (t["r"] >= F.col("_start")) & (t["r"] < F.col("_end"))))
+              .where(F.size("_w") > 0).select(*key_cols, "_s", "_start", "_w"))
     in_slice = Window.partitionBy(*key_cols, "_s").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (counts.join(slices, [*key_cols, "_s"])
-              .withColumn("_hi", F.col("_start") + F.sum("_n").over(in_slice))
-              .withColumn("_lo", F.col("_hi") - F.col("_n")).drop("_start"))
-    hits = (ranked.join(targets.drop("_start"), [*key_cols, "_s"])
-            .where((F.col("_r") >= F.col("_lo")) & (F.col("_r") < F.col("_hi"))))
-    frac = F.col("_rank") - F.floor("_rank")
+    hits = (counts.join(slices, [*key_cols, "_s"])
+            .withColumn("_hi", F.col("_start") + F.sum("_n").over(in_slice))
+            .withColumn("_t", F.explode("_w")).where((F.col("_t.r") >= F.col("_hi") - F.col("_n")) & (F.col("_t.r") < F.col("_hi")))
+            .select(*key_cols, "_v", "_t.name", "_t.frac", "_t.side"))
     outs = []
     for name in probs:
-        mine = F.col("_name") == name
-        low = F.max(F.when(mine & (F.col("_r") == F.floor("_rank")), F.col("_v")))
-        high = F.max(F.when(mine & (F.col("_r") == F.ceil("_rank")), F.col("_v")))
-        outs.append((low + (high - low) * F.max(F.when(mine, frac))).alias(name))
+        pick = lambda k, c: F.max(F.when((F.col("name") == name) & (F.col("side") == k), F.col(c)))  # noqa: B023, E731
+        outs.append((pick(0, "_v") + (pick(1, "_v") - pick(0, "_v")) * pick(0, "frac")).alias(name))
     out = hits.groupBy(*key_cols).agg(*outs)
     return out if keys else out.drop("_all")
 

@@ -42,11 +42,15 @@ def _line_filter(kernel: list[float]):
     @F.pandas_udf("array<double>")
     def smooth(lines: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in lines:
-            out = []
-            for line in batch:
-                x = np.asarray(line, dtype="float64")
-                out.append(np.convolve(np.pad(x, radius, mode="symmetric"), k, mode="valid"))
-            yield pd.Series(out)
+            out = [None] * len(batch)
+            width = batch.map(len)
+            for n in width.unique():  # lines of equal length are filtered together, tap by tap
+                where = np.flatnonzero(width.to_numpy() == n)
+                x = np.pad(np.stack(batch.iloc[where].to_list()).astype("float64"), ((0, 0), (radius, radius)), mode="symmetric")
+                y = sum(k[i] * x[:, i:i + n] for i in range(len(k)))
+                for i, line in zip(where, y, strict=True):
+                    out[i] = line
+            yield pd.Series(out, dtype="object")
 
     return smooth
 
@@ -77,26 +81,30 @@ def _nearest_filter():
 
     @F.pandas_udf("array<double>")
     def nearest(row: pd.Series, source_rows: pd.Series, values: pd.Series) -> pd.Series:
-        out = []
-        for r, sr, v in zip(row, source_rows, values, strict=True):
-            sr = np.asarray(sr, dtype="float64")
-            v = np.asarray(v, dtype="float64")
-            n = len(sr)
-            known = np.flatnonzero(np.isfinite(sr))
-            if not len(known):
-                out.append(np.full(n, np.nan))
-                continue
-            srk = sr[known].astype("int64")
-            down2 = (srk - int(r)) ** 2
-            best = np.empty(n)
-            for lo in range(0, n, 512):  # bounded work space for wide grids
-                here = np.arange(lo, min(lo + 512, n))
-                d2 = (here[:, None] - known[None, :]) ** 2 + down2[None, :]
-                tied = d2 == d2.min(axis=1, keepdims=True)
-                first = np.where(tied, srk[None, :] * (n + 1) + known[None, :], np.iinfo("int64").max).argmin(axis=1)
-                best[here] = v[known[first]]
-            out.append(best)
-        return pd.Series(out)
+        out = [None] * len(row)
+        width = source_rows.map(len).to_numpy()
+        for n in np.unique(width):  # lines of equal length together, in pieces of bounded work space
+            lines = np.flatnonzero(width == n)
+            piece = max(1, 2_000_000 // int(n * min(n, 512)))
+            cols = np.arange(n)
+            for a in range(0, len(lines), piece):
+                at = lines[a:a + piece]
+                sr = np.stack(source_rows.iloc[at].to_list()).astype("float64")
+                v = np.stack(values.iloc[at].to_list()).astype("float64")
+                known = np.isfinite(sr)
+                down2 = np.where(known, (sr - row.iloc[at].to_numpy()[:, None].astype("float64")) ** 2, np.inf)
+                order = np.where(known, sr * (n + 1.0) + cols[None, :], np.inf)
+                best = np.empty(sr.shape)
+                for lo in range(0, n, 512):
+                    here = np.arange(lo, min(lo + 512, n))
+                    d2 = (here[:, None] - cols[None, :]) ** 2 + down2[:, None, :]
+                    tied = d2 == d2.min(axis=2, keepdims=True)
+                    pick = np.where(tied, order[:, None, :], np.inf).argmin(axis=2)
+                    best[:, here] = np.take_along_axis(v, pick, axis=1)
+                best[~known.any(axis=1)] = np.nan
+                for i, line in zip(at, best, strict=True):
+                    out[i] = line
+        return pd.Series(out, dtype="object")
 
     return nearest
 

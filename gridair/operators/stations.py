@@ -16,6 +16,7 @@ from gridair import constants as C
 from gridair.functions import geo, strings
 from gridair.functions.quantiles import exact_quantiles, median
 from gridair.operators.near import radius_mean, within_radius
+from gridair.session import cut_lineage
 
 
 # --------------------------------------------------------------------------------------------- screening
@@ -105,8 +106,9 @@ def qc_verdicts(df: DataFrame, min_cv: float = 0.10, min_days: int = 15, low_fra
     The reasons apply in order: too few days, flat line, implausibly low, inconsistent with a neighbour.
     """
     cleaned = frozen_flag(df).where(~F.col("frozen"))
-    stats = station_stats(cleaned).withColumn(
-        "reason", F.when(F.col("n") < min_days, "few_days").when(F.col("cv") < min_cv, "flat"))
+    # One row per station, read by the network median, both sides of the pair search and the result.
+    stats = cut_lineage(station_stats(cleaned).withColumn(
+        "reason", F.when(F.col("n") < min_days, "few_days").when(F.col("cv") < min_cv, "flat")))
     network = median(stats.where(F.col("reason").isNull()), [], "median", "network").scalar()
     stats = stats.withColumn("network_median", network).withColumn(
         "reason", F.coalesce("reason", F.when(F.col("median") < low_fraction * F.col("network_median"), "low")))

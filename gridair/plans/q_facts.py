@@ -357,3 +357,12 @@ def prj_17(t: Tables):
 @query("win_09_sequence_samples")
 def win_09(t: Tables):
     return P.sequence_samples(G.densify_days(t.cells, t.grids), max_null=0.4)
+
+
+@query("udx_03_custom_scenario", f"""
+WITH bg AS (SELECT area_id, day, greatest(15, least(35, quantile_cont(no2, 0.1))) AS b FROM cells GROUP BY 1, 2)
+SELECT 'half' AS scenario, area_id, day, row, col, round(b * 0.9E0 + greatest(0, no2 - b) * CAST('{P.scenario_scale({"traffic": 0.5, "industrial": 0.5})!r}' AS DOUBLE), 6) AS sim FROM cells JOIN bg USING (area_id, day)""")
+def udx_03(t: Tables):
+    """A caller's own scenario."""
+    own = {"half": {"traffic": 0.5, "industrial": 0.5, "background": 0.9}}
+    return P.scenario_sweep(t.cells, own).select("scenario", *K, r("sim").alias("sim"))

@@ -162,3 +162,13 @@ def mod_12(t: Tables):
 @query("top_07_rank_importance")
 def top_07(t: Tables):
     return M.rank_importance(M.candidate_models(_SURFACE_FEATURES, trees=5)["trees_full"].fit(_training(t)).main, t.cells)
+
+
+@query("udx_02_own_candidate")
+def udx_02(t: Tables):
+    """A caller's candidate in the registry of surface models."""
+    from gridair.operators import stations as S
+    table = _training(t)
+    own = M.Candidate("calendar_only", "linear", ["day_of_week", "weekend"], True)
+    registry = {**M.candidate_models(_SURFACE_FEATURES, trees=3), own.name: own}
+    return S.regression_metrics(registry["calendar_only"].fit(table).predict(table), "no2", "pred")

@@ -13,6 +13,7 @@ from gridair.plans.q_facts import _SUM
 from gridair.plans.registry import query
 from gridair.sources import ingest as I
 from gridair.sources import sinks as W
+from gridair.streaming.jobs import work_folder
 
 
 def r(c, n=6):
@@ -366,3 +367,34 @@ def fun_13(t: Tables):
 def fun_13b(t: Tables):
     """Repeatable placement of records by checksum; DuckDB has no crc32."""
     return t.orders.groupBy(F.pmod(F.crc32(F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderstatus")), F.lit(16)).alias("slot")).agg(F.count("*").alias("n"))
+
+
+# --------------------------------------------------------------------------------------------- files written and read
+@query("src_01_read_stations", """
+SELECT station_id, date_trunc('minute', ts) AS ts, round(lat, 6) AS lat, round(lon, 6) AS lon, no2 FROM stations_hourly""")
+def src_01(t: Tables):
+    """The hourly stations written as CSV with untidy headers and read back."""
+    folder = f"{work_folder(t.spark, 'stations')}/csv"
+    out = t.stations_hourly.select(F.col("station_id").alias(" Station_ID"), F.col("lat").alias("LAT"), F.col("lon").alias("Lon "),
+                                   F.date_format("ts", "yyyy-MM-dd HH:mm").alias("Date"), F.coalesce(F.col("no2").cast("string"), F.lit("NA")).alias("NO2"))
+    out.write.mode("overwrite").option("header", True).csv(folder)
+    return I.read_stations(t.spark, folder).select("station_id", "ts", r("lat").alias("lat"), r("lon").alias("lon"), "no2")
+
+
+@query("src_02_read_station_coords", "SELECT s_name AS station_name, s_suppkey / 10E0 AS lat, s_suppkey / 8E0 AS lon FROM supplier")
+def src_02(t: Tables):
+    folder = f"{work_folder(t.spark, 'coords')}/csv"
+    k = F.col("s_suppkey")
+    t.supplier.select(F.col("s_name").alias("station_name"), (k / 10.0).alias("lat"), (k / 8.0).alias("lon")).write.mode("overwrite").option("header", True).csv(folder)
+    return I.read_station_coords(t.spark, folder)
+
+
+@query("snk_04_write_daily", """
+SELECT area_id, day, count(*) AS cells, round(max(no2), 6) AS top FROM (SELECT area_id, day, CASE WHEN area_id % 2 = 0 THEN no2 + 1 ELSE no2 END AS no2 FROM cells) z GROUP BY 1, 2""")
+def snk_04(t: Tables):
+    """All days written, then the even areas written again: only their folders are replaced."""
+    folder = f"{work_folder(t.spark, 'daily')}/out"
+    W.write_daily(t.cells.select(*K, "no2"), folder)
+    W.write_daily(t.cells.where("area_id % 2 = 0").select(*K, (F.col("no2") + 1).alias("no2")), folder)
+    back = t.spark.read.parquet(folder)
+    return back.groupBy("area_id", "day").agg(F.count("*").alias("cells"), r(F.max("no2")).alias("top"))
