@@ -135,7 +135,7 @@ def qc_report(df: DataFrame, **limits: float) -> DataFrame:
     by_reason = [F.count_if(F.col("reason") == r).alias(f"dropped_{r}") for r in ("few_days", "flat", "low", "neighbour")]
     stations = verdicts.agg(F.count("*").alias("stations_in"), F.count_if(F.col("reason").isNull()).alias("stations_out"),
                             F.max("network_median").alias("network_median"), *by_reason)
-    return rows.join(stations, F.lit(True))
+    return rows.withColumn("_s", stations.select(F.struct("*").alias("_s")).scalar()).select("*", "_s.*").drop("_s")
 
 
 # --------------------------------------------------------------------------------------------- neighbours, medians
