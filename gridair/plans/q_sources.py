@@ -80,11 +80,11 @@ def src_10(t: Tables):
     return I.clean_report_rows(reports(t))
 
 
-_COORDS = "co AS (SELECT concat('SITE ', CAST(s_suppkey AS VARCHAR), ' city') AS station_name, s_suppkey / 10E0 AS lat, 70 + s_suppkey / 7E0 AS lon FROM supplier WHERE s_suppkey % 3 <> 0)"
+_COORDS = "co AS (SELECT concat('SITE ', CAST(s_suppkey AS VARCHAR), ' city') AS station_name, s_suppkey / 10E0 AS lat, 70 + s_suppkey / 7E0 AS lon FROM supplier WHERE s_acctbal > 2000)"
 
 
 def coords(t: Tables):
-    return t.supplier.where("s_suppkey % 3 <> 0").select(F.concat(F.lit("SITE "), F.col("s_suppkey").cast("string"), F.lit(" city")).alias("station_name"),
+    return t.supplier.where("s_acctbal > 2000").select(F.concat(F.lit("SITE "), F.col("s_suppkey").cast("string"), F.lit(" city")).alias("station_name"),
                                                          (F.col("s_suppkey") / 10.0).alias("lat"), (F.lit(70) + F.col("s_suppkey") / 7.0).alias("lon"))
 
 
