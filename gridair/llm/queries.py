@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridair.llm import dac, packing, simhash_rings
+from gridair.llm import budget_tree, dac, divergence, line_chunks, packing, simhash_rings
 from gridair.llm.tokens import vocabulary_path
 
 
@@ -12,6 +12,28 @@ def _table(spark, folder, name):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: The tree of op4: domains are a rule over the source's number; weights of nodes not named are 1.
+LEVELS = ["domain", "lang", "source"]
+DOMAIN = "case when source is null then null else concat('domain', length(source) + ascii(substr(source, length(source), 1)) % 3) end"
+WEIGHTS = {"domain": {"domain4": 3, "domain5": 5}, "lang": {"en": 6, "de": 3}}
+MIX_SHARE, EPOCHS, SEED = (3, 4), 2, "mix"
+
+
+def op1_line_chunks(spark, folder):
+    cut = line_chunks.dedup(_table(spark, folder, "documents"))
+    return cut.select("doc_id", "text", "line_count", "chunk_count", "removed_chunks", "removed_lines")
+
+
+def op2_divergence(spark, folder):
+    found = divergence.judge(_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op4_budget_tree(spark, folder):
+    docs = _table(spark, folder, "documents").select("doc_id", "lang", "source", budget_tree.n_words("text").alias("tokens"), F.expr(DOMAIN).alias("domain"))
+    return budget_tree.mix(docs, LEVELS, WEIGHTS, MIX_SHARE, EPOCHS, SEED)
+
+
 def op5_addressable_codes(spark, folder):
     files = dac.write(_table(spark, folder, "documents"), vocabulary_path("byte_bpe_50k.json"), end_id=0)
     return dac.digest(dac.read_documents(files))
@@ -26,5 +48,5 @@ def op9_packing(spark, folder):
     return packing.digest(packing.pack(packing.pieces(_table(spark, folder, "documents"), vocabulary_path("word_bpe_49k.json"), end_id=1)))
 
 
-QUERIES = {f.__name__: f for f in (op5_addressable_codes, op7_simhash_rings, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_line_chunks, op2_divergence, op4_budget_tree, op5_addressable_codes, op7_simhash_rings, op9_packing)}
 SQL: dict[str, str] = {}
