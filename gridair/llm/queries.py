@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridair.llm import budget_tree, dac, divergence, line_chunks, packing, simhash_rings
+from gridair.llm import budget_tree, capture_index, dac, divergence, line_chunks, packing, permutation_index, simhash_rings
 from gridair.llm.tokens import vocabulary_path
 
 
@@ -44,9 +44,20 @@ def op7_simhash_rings(spark, folder):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_capture_index(spark, folder):
+    pages = _table(spark, folder, "pages")
+    files = capture_index.write_index(capture_index.write_archives(pages))
+    return capture_index.verify(capture_index.lookup(pages.select("page_id", "url"), files))
+
+
 def op9_packing(spark, folder):
     return packing.digest(packing.pack(packing.pieces(_table(spark, folder, "documents"), vocabulary_path("word_bpe_49k.json"), end_id=1)))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_chunks, op2_divergence, op4_budget_tree, op5_addressable_codes, op7_simhash_rings, op9_packing)}
+def op10_permutation_index(spark, folder):
+    return permutation_index.search(_table(spark, folder, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_chunks, op2_divergence, op4_budget_tree, op5_addressable_codes, op7_simhash_rings,
+                                    op8_capture_index, op9_packing, op10_permutation_index)}
 SQL: dict[str, str] = {}
