@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridair.llm import budget_tree, capture_index, dac, divergence, line_chunks, packing, permutation_index, simhash_rings
+from gridair.llm import budget_tree, capture_index, compact_windows, dac, divergence, kneser_ney, line_chunks, packing, permutation_index, simhash_rings
 from gridair.llm.tokens import vocabulary_path
 
 
@@ -29,6 +29,10 @@ def op2_divergence(spark, folder):
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_compact_windows(spark, folder):
+    return compact_windows.near_passages(_table(spark, folder, "documents"))
+
+
 def op4_budget_tree(spark, folder):
     docs = _table(spark, folder, "documents").select("doc_id", "lang", "source", budget_tree.n_words("text").alias("tokens"), F.expr(DOMAIN).alias("domain"))
     return budget_tree.mix(docs, LEVELS, WEIGHTS, MIX_SHARE, EPOCHS, SEED)
@@ -39,6 +43,11 @@ def op5_addressable_codes(spark, folder):
     return dac.digest(dac.read_documents(files))
 
 
+def op6_kneser_ney(spark, folder):
+    trusted = _table(spark, folder, "labels").where("quality = 1").select("doc_id")
+    return kneser_ney.classify(_table(spark, folder, "documents"), trusted)
+
+
 def op7_simhash_rings(spark, folder):
     found = simhash_rings.near_duplicates(_table(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -58,6 +67,6 @@ def op10_permutation_index(spark, folder):
     return permutation_index.search(_table(spark, folder, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_chunks, op2_divergence, op4_budget_tree, op5_addressable_codes, op7_simhash_rings,
+QUERIES = {f.__name__: f for f in (op1_line_chunks, op2_divergence, op3_compact_windows, op4_budget_tree, op5_addressable_codes, op6_kneser_ney, op7_simhash_rings,
                                     op8_capture_index, op9_packing, op10_permutation_index)}
 SQL: dict[str, str] = {}
