@@ -4,7 +4,8 @@ The vocabulary is every word that makes at least a given share of the corpus (2
 one unknown word, charged the share besides, which none of them reaches.  Trigram counts of the trusted documents are
 dealt to shards by their code, and so are the different trigrams of every block of documents: the shards join the two
 and send log-probabilities back to the blocks.  What lower orders need (pairs of vocabulary words) has a size bounded
-by the vocabulary.  A document passes if its perplexity is no higher than a quantile of its language's trusted ones.
+by the vocabulary.  A document passes if its perplexity is no higher than a quantile of its language's trusted documents that were held
+out of the counts.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from gridair.llm.words import common_words, words
 SHARE = 0.001
 #: Quantile of the trusted documents' perplexity that still passes; least words to be judged.
 QUANTILE, LEAST = 0.99, 20
+#: One in so many trusted documents is held out of the counts; the quantiles are theirs.
+HELD_OUT = 5
 #: Short texts scatter more: each language has a quantile for each of the lengths parted by these numbers of words.
 BANDS = (64, 256)
 #: Bytes of text in a block; tokens a shard is meant for; bits of an id; bins of log perplexity for each unit.
@@ -253,10 +256,11 @@ def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_c
     vocabulary = Vocabulary(found)
     texts = encoded(rows, vocabulary)
     good = trusted.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct()
-    counts = trigram_counts(texts.join(good, "doc_id", "left_semi"), vocabulary)
+    held_out = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0  # texts that were counted would look better than others
+    counts = trigram_counts(texts.join(good.where(~held_out), "doc_id", "left_semi"), vocabulary)
     model = train(counts, vocabulary)
     table = scored(texts, counts, vocabulary, model, sum(totals.values()))
-    judged = table.where(F.col("log_perplexity").isNotNull() & (F.col("n_words") >= LEAST)).join(good, "doc_id", "left_semi")
+    judged = table.where(F.col("log_perplexity").isNotNull() & (F.col("n_words") >= LEAST)).join(good.where(held_out), "doc_id", "left_semi")
     # Quantiles from counts in narrow bins: as many rows as bins, and the same however the rows are dealt out.
     band = sum((F.when(F.col("n_words") >= n, 1).otherwise(0) for n in BANDS), F.lit(0))
     bins = judged.groupBy("lang", band.alias("band"), F.ceil(F.col("log_perplexity") * BINS).alias("bin")).count().collect()

@@ -87,6 +87,8 @@ def search(vectors: DataFrame, is_query: str = "vec_id % 100 = 0", k: int = 10,
     rows = written(usable(vectors, id_col, vector_col).groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
     entries = written(rows.groupBy("v").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n")).select(F.col("first").alias("rep"), "v", "n"), "entries")
     n = entries.count()
+    if not n:
+        return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
     sample = entries.select("v").orderBy(F.md5(F.col("v").cast("string"))).limit(PIVOTS).collect()
     pivots = np.array([r.v for r in sample], np.float64).reshape(len(sample), -1)
     shards = max(1, -(-n // SHARD))

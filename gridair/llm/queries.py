@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridair.llm import budget_tree, capture_index, compact_windows, dac, divergence, kneser_ney, line_chunks, packing, permutation_index, simhash_rings
+from gridair.llm import budget_tree, capture_index, compact_windows, dac, divergence, kneser_ney, line_chunks, oracles, packing, permutation_index, simhash_rings
 from gridair.llm.tokens import vocabulary_path
 
 
@@ -69,4 +69,5 @@ def op10_permutation_index(spark, folder):
 
 QUERIES = {f.__name__: f for f in (op1_line_chunks, op2_divergence, op3_compact_windows, op4_budget_tree, op5_addressable_codes, op6_kneser_ney, op7_simhash_rings,
                                     op8_capture_index, op9_packing, op10_permutation_index)}
-SQL: dict[str, str] = {}
+SQL = {"op1_line_chunks": oracles.OP1, "op2_divergence": oracles.OP2, "op8_capture_index": oracles.OP8,
+       "op4_budget_tree": oracles.op4(LEVELS, DOMAIN, WEIGHTS, MIX_SHARE, EPOCHS, SEED)}
