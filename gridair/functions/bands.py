@@ -65,12 +65,12 @@ def severity_label(mean: Column) -> Column:
 
 def haze_class(index: Column) -> Column:
     return (F.when(index < 0.30, "clear").when(index < 0.45, "light").when(index < 0.60, "moderate")
-            .otherwise("dense"))
+            .when(index.isNotNull(), "dense"))
 
 
 def clamp_index(index: Column) -> Column:
     """A client-supplied haze index limited to [0, 1]."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), index))
+    return F.when(index.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), index)))
 
 
 def health_level(v: Column) -> Column:

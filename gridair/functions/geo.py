@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,10 +64,15 @@ def parse_bbox(text: Column) -> Column:
     return F.when(ok, F.struct(w.alias("west"), s.alias("south"), e.alias("east"), n.alias("north")))
 
 
+def _digits(step: float) -> int:
+    """Decimals of a step."""
+    return max(0, -Decimal(str(step)).normalize().as_tuple().exponent)
+
+
 def snap_down(v: Column, step: float = 0.05) -> Column:
     """Largest multiple of ``step`` not above ``v`` (1e-9 tolerance for values already on the lattice)."""
-    return F.round(F.floor((v + 1e-9) / step) * step, 2)
+    return F.round(F.floor((v + 1e-9) / step) * step, _digits(step))
 
 
 def snap_up(v: Column, step: float = 0.05) -> Column:
-    return F.round(F.ceil((v - 1e-9) / step) * step, 2)
+    return F.round(F.ceil((v - 1e-9) / step) * step, _digits(step))

@@ -20,10 +20,10 @@ def _slice(v: Column) -> Column:
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """One row per group with a column per entry of ``probs`` (linear interpolation, nulls ignored)."""
+    """One row per group with a column per entry of ``probs`` (linear interpolation, nulls and NaN ignored)."""
     key_cols = keys or ["_all"]
     src = df if keys else df.withColumn("_all", F.lit(0))
-    counts = (src.where(F.col(value).isNotNull())
+    counts = (src.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
               .groupBy(*key_cols, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
               .withColumn("_s", _slice(F.col("_v"))))
     hist = counts.groupBy(*key_cols, "_s").agg(F.sum("_n").alias("_sn"))

@@ -11,7 +11,8 @@ from gridair import constants as C
 
 
 def clip(x: Column, lo: float, hi: float) -> Column:
-    return F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), x))
+    """``x`` limited to [lo, hi]; missing stays missing (``greatest`` and ``least`` alone would give a bound)."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), x)))
 
 
 def safe_ratio(a: Column, b: Column) -> Column:
@@ -29,19 +30,21 @@ def exp_decay(x: Column, scale: float) -> Column:
 
 def column_to_surface(column: Column, blh: Column) -> Column:
     """Column (umol/m2) mixed over the boundary layer (m, at least 50) -> ug/m3."""
-    return column * C.NO2_MOLAR_MASS_G / F.greatest(blh, F.lit(50.0))
+    return column * C.NO2_MOLAR_MASS_G / F.when(blh.isNotNull(), F.greatest(blh, F.lit(50.0)))
 
 
 def lead_confidence(hours: Column, base: Column | float = 0.5) -> Column:
     """Confidence of a point forecast, decaying with lead hours (e-folding 24 h)."""
     start = base if isinstance(base, Column) else F.lit(float(base))
-    return F.greatest(F.lit(0.0), start * F.exp(-hours / 24.0))
+    value = start * F.exp(-hours / 24.0)
+    return F.when(value.isNotNull(), F.greatest(F.lit(0.0), value))
 
 
 def frame_confidence(minutes: Column, mass_error: Column, base: float = 0.63) -> Column:
     """Confidence of a forecast frame: decays with real lead minutes and with the mass error."""
-    kept = F.lit(1.0) - F.least(mass_error, F.lit(1.0))
-    return F.greatest(F.lit(0.0), F.lit(base) * F.exp(-minutes / 90.0) * kept)
+    kept = F.lit(1.0) - F.when(mass_error.isNotNull(), F.least(mass_error, F.lit(1.0)))
+    value = F.lit(base) * F.exp(-minutes / 90.0) * kept
+    return F.when(value.isNotNull(), F.greatest(F.lit(0.0), value))
 
 
 # Fixed values: (mean, deviation) of the forecast channels; the first group is on a log1p scale.
@@ -59,7 +62,7 @@ def normalise_channel(name: str, x: Column) -> Column:
     mean, std = CHANNEL_STATS[name]
     v = F.coalesce(x, F.lit(0.0))
     if name in LOG_CHANNELS:
-        v = F.log1p(F.greatest(v, F.lit(0.0)))
+        v = F.log1p(F.when(v.isNotNull(), F.greatest(v, F.lit(0.0))))
     return (v - mean) / (std + 1e-8)
 
 

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gridair.functions.units import clip
+
 # Compass names clockwise from north.
 COMPASS_8 = ("N", "NE", "E", "SE", "S", "SW", "W", "NW")
 COMPASS_16 = ("N", "NNE", "NE", "ENE", "E", "ESE", "SE", "SSE", "S", "SSW", "SW", "WSW", "W", "WNW", "NW", "NNW")
@@ -47,5 +49,5 @@ def diurnal_v(hour: Column) -> Column:
 
 def estimate_blh(t2m_k: Column, u: Column, v: Column) -> Column:
     """Bulk boundary-layer height (m) from temperature (K) and wind."""
-    t_c = F.greatest(F.lit(0.0), F.least(F.lit(45.0), t2m_k - 273.15))
-    return F.greatest(F.lit(200.0), F.least(F.lit(3000.0), F.lit(250.0) + 35.0 * t_c + 90.0 * speed(u, v)))
+    value = F.lit(250.0) + 35.0 * clip(t2m_k - 273.15, 0.0, 45.0) + 90.0 * speed(u, v)
+    return clip(value, 200.0, 3000.0)

@@ -284,7 +284,9 @@ def gradient(cells: DataFrame, value: str, keys: tuple[str, ...] = ("area_id",),
     """Central differences (one-sided at edges) per cell along columns (``gx``) and rows (``gy``) and the slope."""
     def diff(along: str, step) -> Column:
         w = _line(keys, along)
-        back, ahead = F.lag(value).over(w), F.lead(value).over(w)
+        # Only the cell next to this one is a neighbour: at a hole the difference is one-sided, as at an edge.
+        back = F.when(F.lag(along).over(w) == F.col(along) - 1, F.lag(value).over(w))
+        ahead = F.when(F.lead(along).over(w) == F.col(along) + 1, F.lead(value).over(w))
         size = F.col(step) if isinstance(step, str) else F.lit(float(step))
         return (F.when(back.isNull(), ahead - F.col(value)).when(ahead.isNull(), F.col(value) - back)
                 .otherwise((ahead - back) / 2.0)) / size

@@ -57,7 +57,7 @@ def _line_filter(kernel: list[float]):
 
 def gaussian_smooth(cells: DataFrame, sigma: float, columns: dict[str, str], keys: tuple[str, ...] = DAY_KEY) -> DataFrame:
     """Gaussian smoothing (cut at four sigma, mirrored edges) of ``columns`` {source: result}, along columns then
-    rows.  ``cells`` holds every cell of each grid without missing values."""
+    rows.  ``cells`` holds every cell of each grid without missing values; a line with a hole raises."""
     smooth = _line_filter(gaussian_kernel(sigma))
     names = list(columns.values())
 
@@ -67,6 +67,9 @@ def gaussian_smooth(cells: DataFrame, sigma: float, columns: dict[str, str], key
     out = cells.select(*keys, "row", "col", *[F.col(s).cast("double").alias(r) for s, r in columns.items()])
     for across, along in (("row", "col"), ("col", "row")):
         packed = out.groupBy(*keys, across).agg(F.sort_array(F.collect_list(F.struct(along, *names))).alias("_line"))
+        # A hole would be closed up silently, so that cells beyond it came to lie too near.
+        whole = F.element_at("_line", -1)[along] - F.element_at("_line", 1)[along] + 1 == F.size("_line")
+        packed = packed.where(F.when(whole, F.lit(True)).otherwise(F.raise_error(F.lit("a grid line has holes: fill them before smoothing")).cast("boolean")))
         parts = packed.select(*keys, across, F.transform("_line", field(along)).alias("_at"),
                               *[smooth(F.transform("_line", field(n))).alias(n) for n in names])
         out = (parts.select(*keys, across, F.explode(F.arrays_zip("_at", *names)).alias("_z"))
@@ -216,7 +219,7 @@ def focal_layers(static: DataFrame, layers: tuple[str, ...], sigmas: tuple[int,
 
 
 # --------------------------------------------------------------------------------------------- components
-def connected_components(nodes: DataFrame, edges: DataFrame, keys: list[str], max_rounds: int = 60) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     """``label`` (smallest node id of the component) for every ``node`` of ``nodes``, per ``keys``.
 
     Alternates large-star and small-star steps until the edges stop changing; the number of rounds grows with
@@ -224,7 +227,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, keys: list[str], ma
     """
     e = cut_lineage(edges.select(*keys, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     state = None
-    for _ in range(max_rounds):
+    while True:
         # large star: every larger neighbour is attached to the smallest node around
         both = e.unionByName(e.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy(*keys, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -237,8 +240,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame, keys: list[str], ma
         if now == state:
             break
         state = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     up = e.groupBy(*keys, F.col("u").alias("node")).agg(F.min("v").alias("label"))
     return nodes.select(*keys, "node").join(up, [*keys, "node"], "left").withColumn("label", F.coalesce("label", "node"))
 

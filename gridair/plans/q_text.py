@@ -121,13 +121,13 @@ def win_11(t: Tables):
 # more stand for the unrelated subjects.
 _VOC = """
 vw AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM benchmark),
-vocab AS (SELECT word, CASE length(word) % 3 WHEN 0 THEN 1E0 WHEN 1 THEN 0.85E0 ELSE 0.45E0 END AS weight, length(word) >= 11 AS off FROM vw WHERE length(word) >= 7)"""
+vocab AS (SELECT word, CASE length(word) % 3 WHEN 0 THEN 1E0 WHEN 1 THEN 0.85E0 ELSE 0.45E0 END AS weight, length(word) >= 11 AS off FROM vw)"""
 
 
 def vocabulary(t: Tables):
     w = t.benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1))).alias("word")).distinct()
     n = F.length("word")
-    return w.where(n >= 7).select("word", F.when(n % 3 == 0, 1.0).when(n % 3 == 1, 0.85).otherwise(0.45).alias("weight"), (n >= 11).alias("off"))
+    return w.select("word", F.when(n % 3 == 0, 1.0).when(n % 3 == 1, 0.85).otherwise(0.45).alias("weight"), (n >= 11).alias("off"))
 
 
 @query("txt_01_score_relevance", f"""

@@ -1,11 +1,10 @@
-"""Session helpers: a test session, checkpointing and the size check before a broadcast."""
+"""Session helpers: a test session and checkpointing."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(cpus: str = "8", app: str = "gridair", **conf: str) -> SparkSession:
@@ -38,7 +37,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not path:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder before running iterative operators")
         path = tempfile.mkdtemp(prefix="gridair-ckpt-")
     sc.setCheckpointDir(path)
@@ -49,9 +48,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably (survives lost executors) and start a fresh plan from it."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def small_side(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
-    """``df`` marked for broadcast when it has at most ``max_rows`` rows (counted up to that), else unchanged, so
-    that Spark joins it by shuffling."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -269,3 +269,28 @@ def test_late_readings_are_counted(spark, tmp_path):
     assert run() >= 1
     days = sorted((r["day"].day, r["no2"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert days[0] == (1, 30.0) and (2, 30.0) in days
+
+
+def test_missing_stays_missing(spark):
+    from gridair.functions import bands, geo, units, wind
+    one = spark.sql("SELECT CAST(NULL AS DOUBLE) AS x, 100D AS c, 1.2345D AS v")
+    x = F.col("x")
+    row = one.select(units.clip(x, 0, 1), units.column_to_surface(F.col("c"), x), units.frame_confidence(F.lit(10.0), x), units.lead_confidence(x),
+                     wind.estimate_blh(x, x, x), bands.clamp_index(x), bands.haze_class(x)).first()
+    assert list(row) == [None] * 7
+    assert list(one.select(geo.snap_down(F.col("v"), 0.001), geo.snap_up(F.col("v"), 0.05)).first()) == [1.234, 1.25]
+
+
+def test_nan_is_no_value_of_a_quantile(spark):
+    from gridair.functions.quantiles import exact_quantiles
+    df = spark.createDataFrame([(1, 1.0), (1, float("nan")), (1, 3.0)], "k int, v double")
+    assert exact_quantiles(df, ["k"], "v", {"m": 0.5}).first().m == 2.0
+
+
+def test_holes(spark):
+    from gridair.operators import cells, spatial
+    line = spark.createDataFrame([(0, 0, c, float(c)) for c in (0, 1, 2, 6, 7)], "area_id int, row int, col int, no2 double")
+    got = {r.col: r.gx for r in cells.gradient(line, "no2").collect()}
+    assert got == {c: 1.0 for c in (0, 1, 2, 6, 7)}
+    with pytest.raises(Exception, match="holes"):
+        spatial.gaussian_smooth(line, 1.0, {"no2": "s"}, keys=("area_id",)).collect()
