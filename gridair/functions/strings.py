@@ -67,3 +67,8 @@ def similarity(a: Column, b: Column) -> Column:
     longest = F.greatest(F.length(a), F.length(b))
     return (F.when(a == b, F.lit(1.0)).when((F.length(a) < 4) | (F.length(b) < 4), F.lit(0.0))
             .otherwise(F.lit(1.0) - F.levenshtein(a, b) / longest.cast("double")))
+
+
+def hash_number(text: Column) -> Column:
+    """A number below 2**32 from the first eight hex digits of a text's md5: the same in any engine."""
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")

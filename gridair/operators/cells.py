@@ -257,7 +257,8 @@ def interpolate_linear(dense: DataFrame, value: str = "no2", keys: tuple[str, ..
     w = Window.partitionBy(*keys).orderBy("day")
     known = F.when(F.col(value).isNotNull(), F.struct(F.col("day").alias("d"), F.col(value).alias("v")))
     before = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    back = Window.partitionBy(*keys).orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, 0)
+    after = F.last(known, ignorenulls=True).over(back)
     out = dense.withColumn("_b", before).withColumn("_a", after)
     span = F.datediff("_a.d", "_b.d")
     part = F.datediff("day", "_b.d") / F.nullif(span, F.lit(0))

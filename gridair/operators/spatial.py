@@ -121,7 +121,8 @@ def fill_nearest(dense: DataFrame, value: str = "no2", keys: tuple[str, ...] = D
     w = Window.partitionBy(*keys, "col").orderBy("row")
     known = F.when(F.col(value).isNotNull(), F.struct(F.col("row").alias("r"), F.col(value).alias("v")))
     up = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    down = F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    back = Window.partitionBy(*keys, "col").orderBy(F.desc("row")).rowsBetween(Window.unboundedPreceding, 0)
+    down = F.last(known, ignorenulls=True).over(back)
     c = dense.select(*keys, "row", "col", value).withColumn("_u", up).withColumn("_d", down)
     closer_up = F.coalesce(F.col("row") - F.col("_u.r") <= F.col("_d.r") - F.col("row"), F.col("_u").isNotNull())
     c = c.withColumn("_s", F.when(closer_up, F.col("_u")).otherwise(F.col("_d")))
@@ -334,7 +335,8 @@ def gap_confidence(grid: DataFrame, width: int, cap: int = 8, value: str = "no2"
     v = Window.partitionBy("col").orderBy("row")
     seen = F.when(F.col(value).isNotNull(), F.col("row"))
     up = F.col("row") - F.last(seen, ignorenulls=True).over(v.rowsBetween(Window.unboundedPreceding, 0))
-    down = F.first(seen, ignorenulls=True).over(v.rowsBetween(0, Window.unboundedFollowing)) - F.col("row")
+    back = Window.partitionBy("col").orderBy(F.desc("row")).rowsBetween(Window.unboundedPreceding, 0)
+    down = F.last(seen, ignorenulls=True).over(back) - F.col("row")
     g = grid.withColumn("_g", F.least(up, down))
     around = F.filter(F.array(F.col("col"), F.when(F.col("col") < cap, F.col("col") + width), F.when(F.col("col") >= width - cap, F.col("col") - width)), lambda x: x.isNotNull())
     ring = g.select("row", "_g", F.explode(around).alias("_x"))

@@ -230,7 +230,7 @@ def date_blocks(df: DataFrame, n: int = 5, day: str = "day") -> DataFrame:
 def station_groups(df: DataFrame, n: int = 5) -> DataFrame:
     """Stations spread over ``n`` groups by a hash of their id (repeatable on any partitioning)."""
     return (df.select("station_id").distinct()
-            .withColumn("station_group", F.pmod(F.crc32(F.col("station_id")), F.lit(n)).cast("int")))
+            .withColumn("station_group", (strings.hash_number(F.col("station_id")) % n).cast("int")))
 
 
 def space_time_folds(df: DataFrame, n: int = 5) -> DataFrame:
@@ -262,7 +262,7 @@ def group_folds(df: DataFrame, group: str) -> DataFrame:
 
 def holdout_flag(df: DataFrame, keys: list[str], fraction: float = 0.1) -> DataFrame:
     """``holdout``: a repeatable share of the rows chosen by a hash of the key."""
-    h = F.pmod(F.crc32(F.concat_ws("|", *[F.col(k).cast("string") for k in keys])), F.lit(1000))
+    h = strings.hash_number(F.concat_ws("|", *[F.col(k).cast("string") for k in keys])) % 1000
     return df.withColumn("holdout", h < int(round(fraction * 1000)))
 
 

@@ -256,7 +256,7 @@ def agg_33(t: Tables):
 
 # Coarse fields without gaps for the resampling queries.
 FILLED = DENSE + """,
-filled AS (SELECT area_id, day, row, col, coalesce(no2, avg(no2) OVER (PARTITION BY area_id, day), 45) AS no2,
+filled AS MATERIALIZED (SELECT area_id, day, row, col, coalesce(no2, avg(no2) OVER (PARTITION BY area_id, day), 45) AS no2,
                   u10, v10, blh, lat, lon FROM dense)"""
 
 

@@ -363,10 +363,10 @@ def fun_13(t: Tables):
     return t.orders.select("o_orderkey", F.sha1(F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderstatus")).alias("sha"))
 
 
-@query("fun_13_stable_placement")
+@query("fun_13_stable_placement", "SELECT CAST(CAST('0x' || substr(md5(concat(CAST(o_orderkey AS VARCHAR), '|', o_orderstatus)), 1, 8) AS BIGINT) % 16 AS INT) AS slot, count(*) AS n FROM orders GROUP BY 1")
 def fun_13b(t: Tables):
-    """Repeatable placement of records by checksum; DuckDB has no crc32."""
-    return t.orders.groupBy(F.pmod(F.crc32(F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderstatus")), F.lit(16)).alias("slot")).agg(F.count("*").alias("n"))
+    """Repeatable placement of records by checksum."""
+    return t.orders.groupBy((strings.hash_number(F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderstatus")) % 16).cast("int").alias("slot")).agg(F.count("*").alias("n"))
 
 
 # --------------------------------------------------------------------------------------------- files written and read

@@ -256,25 +256,21 @@ def win_10(t: Tables):
     return S.date_blocks(t.stations_daily)
 
 
-@query("win_10_station_groups")
+@query("win_10_station_groups", "SELECT station_id, CAST(CAST('0x' || substr(md5(station_id), 1, 8) AS BIGINT) % 5 AS INT) AS station_group FROM (SELECT DISTINCT station_id FROM stations_daily) s")
 def win_10b(t: Tables):
     return S.station_groups(t.stations_daily)
 
 
-# Group and block of each row come from the calendar here, so that SQL can repeat them.
 @query("mod_07_space_time_folds", """
 WITH d AS (SELECT day, ntile(5) OVER (ORDER BY day) - 1 AS date_block FROM (SELECT DISTINCT day FROM stations_daily) x),
 f AS (SELECT s.station_id, s.day, CAST(d.date_block AS INT) AS date_block,
-             CAST(CAST(substr(station_id, 3) AS INT) % 5 AS INT) AS station_group
+             CAST(CAST('0x' || substr(md5(station_id), 1, 8) AS BIGINT) % 5 AS INT) AS station_group
       FROM stations_daily s JOIN d USING (day))
 SELECT a.station_group, a.date_block, count(*) AS test_rows,
        (SELECT count(*) FROM f b WHERE b.station_group <> a.station_group AND b.date_block <> a.date_block) AS train_rows
 FROM f a GROUP BY 1, 2""")
 def mod_07(t: Tables):
-    d = t.stations_daily
-    folded = d.join(S.date_blocks(d), "day").withColumn(
-        "station_group", (F.substring("station_id", 3, 9).cast("int") % 5))
-    return S.fold_sizes(folded)
+    return S.fold_sizes(S.space_time_folds(t.stations_daily))
 
 
 @query("mod_08_group_folds", """
@@ -284,7 +280,7 @@ def mod_08(t: Tables):
     return S.group_folds(t.stations_daily, "city")
 
 
-@query("set_02_holdout_split")
+@query("set_02_holdout_split", "SELECT CAST('0x' || substr(md5(concat(station_id, '|', CAST(day AS VARCHAR))), 1, 8) AS BIGINT) % 1000 < 100 AS holdout, count(*) AS n FROM stations_daily GROUP BY 1")
 def set_02(t: Tables):
     return (S.holdout_flag(t.stations_daily, ["station_id", "day"]).groupBy("holdout")
             .agg(F.count("*").alias("n")))
