@@ -118,6 +118,14 @@ def _training(t: Tables):
     return M.cut_lineage(M.station_table(_surface(t), obs, fine))
 
 
+def _parted(t: Tables):
+    """Training rows without and with the first of five groups of stations."""
+    from gridair.operators import stations as S
+    table = _training(t)
+    table = M.cut_lineage(table.join(S.station_groups(table), "station_id"))
+    return table.where("station_group <> 0"), table.where("station_group = 0")
+
+
 @query("grd_08_surface_features")
 def grd_08(t: Tables):
     return _surface(t)
@@ -125,31 +133,31 @@ def grd_08(t: Tables):
 
 @query("mod_06_candidate_models")
 def mod_06(t: Tables):
-    """Every candidate fitted on all station days, with its scores on them."""
+    """Every candidate fitted without one group of stations, with its scores on that group."""
     from gridair.operators import stations as S
-    table = _training(t)
+    rest, held_out = _parted(t)
     out = None
-    for name, c in M.candidate_models(_SURFACE_FEATURES, trees=5).items():
-        row = S.regression_metrics(c.fit(table).predict(table), "no2", "pred").withColumn("model", F.lit(name))
+    for name, c in M.surface_recipes(_SURFACE_FEATURES, trees=5).items():
+        row = S.regression_metrics(c.fit(rest).predict(held_out), "no2", "pred").withColumn("model", F.lit(name))
         out = row if out is None else out.unionByName(row)
     return out
 
 
 @query("mod_09_future_days")
 def mod_09(t: Tables):
-    return M.future_days(_training(t), M.candidate_models(_SURFACE_FEATURES, trees=5)["trees_full"])
+    return M.future_days(_training(t), M.surface_recipes(_SURFACE_FEATURES, trees=5)["trees_full"])
 
 
 @query("mod_10_select_surface_model")
 def mod_10(t: Tables):
-    c = M.candidate_models(_SURFACE_FEATURES, trees=3)
+    c = M.surface_recipes(_SURFACE_FEATURES, trees=3)
     chosen = {n: c[n] for n in ("linear_satellite", "trees_full", "two_scale")}
     return M.select_surface_model(_training(t), chosen, n=2).report
 
 
 @query("mod_11_predict_map")
 def mod_11(t: Tables):
-    model = M.candidate_models(_SURFACE_FEATURES, trees=5)["trees_full"].fit(_training(t))
+    model = M.surface_recipes(_SURFACE_FEATURES, trees=5)["trees_full"].fit(_training(t))
     return M.predict_map(model, _surface(t))
 
 
@@ -161,14 +169,14 @@ def mod_12(t: Tables):
 
 @query("top_07_rank_importance")
 def top_07(t: Tables):
-    return M.rank_importance(M.candidate_models(_SURFACE_FEATURES, trees=5)["trees_full"].fit(_training(t)).main, t.cells)
+    return M.rank_importance(M.surface_recipes(_SURFACE_FEATURES, trees=5)["trees_full"].fit(_training(t)).parts[-1], t.cells)
 
 
 @query("udx_02_own_candidate")
 def udx_02(t: Tables):
     """A caller's candidate in the registry of surface models."""
     from gridair.operators import stations as S
-    table = _training(t)
-    own = M.Candidate("calendar_only", "linear", ["day_of_week", "weekend"], True)
-    registry = {**M.candidate_models(_SURFACE_FEATURES, trees=3), own.name: own}
-    return S.regression_metrics(registry["calendar_only"].fit(table).predict(table), "no2", "pred")
+    rest, held_out = _parted(t)
+    own = M.Recipe("calendar_only", ("day_of_week", "weekend"), M.direct(M.robust_line))
+    registry = {**M.surface_recipes(_SURFACE_FEATURES, trees=3), own.name: own}
+    return S.regression_metrics(registry["calendar_only"].fit(rest).predict(held_out), "no2", "pred")
