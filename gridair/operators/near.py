@@ -85,7 +85,7 @@ def radius_mean(obs: DataFrame, sites: DataFrame, km: float, value: str, name: s
     pairs = (around.withColumn("_inside", far < km * (1 - 1e-9)).where(F.col("_inside") | (close < km * (1 + 1e-9))))
 
     # The station's own coordinates come from ``sites`` so that one station cannot sit in two buckets.
-    rows = (obs.where(F.col(value).isNotNull()).select("station_id", "day", value)
+    rows = (obs.where(F.col(value).isNotNull() & ~F.isnan(value)).select("station_id", "day", value)  # one NaN would reach all around
             .join(src, "station_id"))
     per_bucket = rows.groupBy("_y", "_x", "day").agg(F.sum(value).alias("_s"), F.count(value).alias("_c"))
     per_place = rows.groupBy("lat", "lon", "_y", "_x", "day").agg(F.sum(value).alias("_s"), F.count(value).alias("_c"))

@@ -213,9 +213,9 @@ def suggest_city(unknown: DataFrame, cities: DataFrame, limit: int = 8) -> DataF
               .withColumn("_len", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3), F.lit(4))))
               .where(F.col("_at") + F.col("_len") - 1 <= n)
               .select("city", F.expr("substring(key, _at, _len)").alias("_piece")).distinct())
-    w = Window.partitionBy("name").orderBy("city")
-    return (want.join(pieces, "_piece").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
-            .select("name", "city", "rank"))
+    # The first cities depend on the piece alone: no more than these meet the names.
+    first = pieces.withColumn("rank", F.row_number().over(Window.partitionBy("_piece").orderBy("city"))).where(F.col("rank") <= limit)
+    return want.join(first, "_piece").select("name", "city", "rank")
 
 
 # --------------------------------------------------------------------------------------------- validation splits
