@@ -164,14 +164,26 @@ def src_14(t: Tables):
 
 
 # --------------------------------------------------------------------------------------------- sinks
-@query("snk_01_points_table", """
+_POINTS = """
 SELECT area_id, day, lon, lat, round(no2 * pow(10, 5 - floor(log10(abs(no2))))) / pow(10, 5 - floor(log10(abs(no2)))) AS no2 FROM
- (SELECT c.*, round(west + res * (col + 0.5E0), 4) AS lon, round(north - res * (row + 0.5E0), 4) AS lat FROM cells c JOIN grids USING (area_id) WHERE row % 2 = 0 AND col % 2 = 0) z""")
+ (SELECT c.*, round(west + res * (col + 0.5E0), 4) AS lon, round(north - res * (row + 0.5E0), 4) AS lat FROM cells c JOIN grids USING (area_id) WHERE row % 2 = 0 AND col % 2 = 0) z"""
+
+
+@query("snk_01_points_table", _POINTS)
 def snk_01(t: Tables):
     p = W.points_table(t.cells, t.grids, 2)
     return p.withColumn("lon", r("lon", 4)).withColumn("lat", r("lat", 4))
 
 
+@query("snk_01_write_points_csv", _POINTS)
+def snk_01b(t: Tables):
+    """The point files, written and read back."""
+    folder = f"{work_folder(t.spark, 'points')}/csv"
+    W.write_points_csv(t.cells, t.grids, folder, 2)
+    back = t.spark.read.option("header", True).schema("lon double, lat double, no2 double, area_id int, day date").csv(folder)
+    return back.select("area_id", "day", r("lon", 4).alias("lon"), r("lat", 4).alias("lat"), "no2")
+
+
 @query("snk_02_point_features", """
 SELECT area_id, day, row, col, round(no2, 3) AS no2, CASE WHEN no2 < 40 THEN 'Normal' WHEN no2 < 80 THEN 'Moderate' WHEN no2 < 180 THEN 'Unhealthy' ELSE 'Hazardous' END AS band,
  round(west + res * (col + 0.5E0), 5) AS lon, 'Point' AS kind FROM cells JOIN grids USING (area_id) WHERE row % 2 = 0 AND col % 2 = 0""")
@@ -207,8 +219,21 @@ def snk_06(t: Tables):
     return t.global_obs.select("row", "col", "ts", q.alias("q")).withColumn("back", r(units.dequantise(F.col("q"), 0.01)))
 
 
-@query("snk_07_facts_document", f"""
-WITH {_SUM} SELECT area_id, day, round(mean, 3) AS mean, round(max, 3) AS max, round(share_above_who, 3) AS who FROM s""")
+_FACTS = f"""
+WITH {_SUM} SELECT area_id, day, round(mean, 3) AS mean, round(max, 3) AS max, round(share_above_who, 3) AS who FROM s"""
+
+
+@query("snk_07_write_facts_json", _FACTS)
+def snk_07b(t: Tables):
+    """The fact documents, written as JSON lines and read back."""
+    folder = f"{work_folder(t.spark, 'facts')}/json"
+    f = X.area_summary(t.cells, t.grids).select("area_id", "day", *[r(c, 3).alias(c) for c in ("mean", "max", "share_above_who")])
+    W.write_facts_json(f, {"current": ["mean", "max"], "shares": ["share_above_who"]}, folder)
+    back = t.spark.read.schema("area_id int, day date, current struct<mean:double,max:double>, shares struct<share_above_who:double>").json(folder)
+    return back.select("area_id", "day", "current.mean", "current.max", F.col("shares.share_above_who").alias("who"))
+
+
+@query("snk_07_facts_document", _FACTS)
 def snk_07(t: Tables):
     f = X.area_summary(t.cells, t.grids)
     f = f.select("area_id", "day", *[r(c, 3).alias(c) for c in ("mean", "max", "share_above_who")])
