@@ -133,6 +133,22 @@ def test_hot_passage_and_common_line(spark):
     assert set(found) == {i for i, _ in docs if i % 3 == 0} and set(found.values()) == {0}
 
 
+def test_copies_give_no_pairs_of_copies(spark):
+    row = "key long, uid long, start int, stop int, at int, sketch long, body long"
+    one, near, far = 0x0001_0002_0003_0004, 0x0001_0002_0009_0009, 0x0001_0007_0007_0007
+    rows = [(5, u, 3, 9, 4, one, 100) for u in range(500)] + [(5, u, 3, 9, 4, near, 200) for u in range(400, 900)] + [(5, 950, 0, 0, 0, far, 300), (6, 951, 0, 0, 0, one, 400)]
+    df = spark.createDataFrame(rows, row)
+    pairs = {(r.uid, r.first) for r in compact_windows.agreeing(df).collect()}
+    assert pairs == {(400, 0), (899, 0), (499, 400), (899, 499)}
+    beside = compact_windows.beside(df, ["key", "body"]).collect()
+    assert len(beside) == 1000 and all(r.same and r.uid != r["first"] for r in beside)
+    # Groups of the same document only are no pair; a group of two documents beside one of the first alone is.
+    alone = [(7, 1, 0, 5, 2, one, 1), (7, 1, 60, 65, 62, near, 2)]
+    assert compact_windows.agreeing(spark.createDataFrame(alone, row)).count() == 0
+    both = compact_windows.agreeing(spark.createDataFrame([*alone, (7, 8, 9, 14, 11, near, 2)], row)).collect()
+    assert [(r.uid, r["first"]) for r in both] == [(8, 1)]
+
+
 def test_mix(spark, odd, empty):
     docs = odd.withColumn("tokens", budget_tree.n_words("text"))
     got = budget_tree.mix(docs, ["lang", "source"], {"lang": {"en": 5}}, (3, 2), 3, "s").collect()
