@@ -1,11 +1,9 @@
 """Quality classifier: an interpolated modified Kneser-Ney trigram model of trusted text (operator 6).
 
-The vocabulary is every word that makes at least a given share of the corpus (2 / share words at most); all others are
-one unknown word, charged the share besides, which none of them reaches.  Trigram counts of the trusted documents are
-dealt to shards by their code, and so are the different trigrams of every block of documents: the shards join the two
-and send log-probabilities back to the blocks.  What lower orders need (pairs of vocabulary words) has a size bounded
-by the vocabulary.  A document passes if its perplexity is no higher than a quantile of its language's trusted documents that were held
-out of the counts.
+Every word of trusted text is in the model, whose tables of all orders are dealt to shards (``ngrams``).  A document
+passes if its perplexity is no higher than a quantile of its language's trusted documents that were held out of the
+counts.  ``Vocabulary``, ``encoded``, ``trigram_counts``, ``train`` and ``Model`` are the same model over a short list
+of words, held by one process; the classifier doesn't use them.
 """
 
 from __future__ import annotations
@@ -20,10 +18,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridair.llm import ngrams
 from gridair.llm.common import written
-from gridair.llm.words import common_words, words
+from gridair.llm.ngrams import discounts
+from gridair.llm.words import words
 
-#: Least share of all words for a word of the vocabulary.
+#: Charge of the unknown word of a short list.
 SHARE = 0.001
 #: Quantile of the trusted documents' perplexity that still passes; least words to be judged.
 QUANTILE, LEAST = 0.99, 20
@@ -58,18 +58,6 @@ class Vocabulary:
         return (x[:-2] << 2 * BITS) | (x[1:-1] << BITS) | x[2:]
 
 
-def shard_of(codes: np.ndarray, shards: int) -> np.ndarray:
-    return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % shards
-
-
-def _packed(codes: np.ndarray) -> bytes:
-    return zlib.compress(np.diff(codes, prepend=0).tobytes(), 1)
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(data), np.int64))
-
-
 def encoded(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(block, doc_id, lang, n_words, ids) as a written table; ids is null for languages without vocabulary."""
     def run(batches):
@@ -118,16 +106,6 @@ def trigram_counts(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return written(texts.where("ids is not null").select("lang", "ids").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "trigram-counts")
 
 
-def discounts(of_counts: dict[int, int]) -> np.ndarray:
-    """What to take off counts of 0, 1, 2 and more, from how many n-grams have counts 1 to 4."""
-    n1, n2, n3, n4 = (of_counts.get(k, 0) for k in (1, 2, 3, 4))
-    if not n1 or not n2:
-        return np.array([0, 0.5, 0.75, 0.9])
-    y = n1 / (n1 + 2 * n2)
-    out = np.array([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 1.5])
-    return np.clip(out, [0, 0.05, 0.05, 0.05], [0, 1, 2, 3])
-
-
 class Model:
     """Lower orders as sorted arrays, and the discounts of trigrams; the trigram counts stay in their shards."""
 
@@ -188,78 +166,21 @@ def train(counts: DataFrame, vocabulary: Vocabulary) -> Model:
     return Model(vocabulary, after.toPandas(), before.toPandas(), of_counts.toPandas())
 
 
-def scored(texts: DataFrame, counts: DataFrame, vocabulary: Vocabulary, model: Model, tokens: int) -> DataFrame:
-    """(doc_id, lang, n_words, log_perplexity) of all encoded ``texts``, a written table; null where there is no word or vocabulary."""
-    shards = max(1, -(-tokens // SHARD))
-
-    def ask(batches):
-        held: dict = {}
-
-        def flush(block):
-            codes = np.unique(np.concatenate(held.pop(block)))
-            to = shard_of(codes, shards)
-            order = np.argsort(to, kind="stable")
-            cuts = np.searchsorted(to[order], np.arange(shards + 1))
-            some = [k for k in range(shards) if cuts[k + 1] > cuts[k]]
-            return pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array([_packed(codes[order[cuts[k]:cuts[k + 1]]]) for k in some], pa.binary())], ["block", "shard", "codes"])
-        for batch in batches:
-            for block, lang, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for done in [b for b in held if b != block]:
-                    yield flush(done)
-                held.setdefault(block, []).append(np.unique(vocabulary.trigrams(lang, _ids(data))))
-                if len(held[block]) > 2000:
-                    held[block] = [np.unique(np.concatenate(held[block]))]
-        for done in list(held):
-            yield flush(done)
-
-    def answer(known, asked):
-        known = known.sort_values("code")
-        code, n = known["code"].to_numpy(np.int64), known["n"].to_numpy(np.int64)
-        out = []
-        for data in asked["codes"]:
-            wanted = _unpacked(data)
-            at = np.minimum(np.searchsorted(code, wanted), max(0, len(code) - 1))
-            found = np.where(code[at] == wanted, n[at], 0) if len(code) else np.zeros(len(wanted), np.int64)
-            out.append(model.log_probability(wanted, found).astype(np.float32).tobytes())
-        return pd.DataFrame({"block": asked["block"].to_numpy(), "codes": asked["codes"].to_numpy(), "logs": out})
-
-    def finish(rows, answers):
-        codes = np.concatenate([_unpacked(x) for x in answers["codes"]]) if len(answers) else np.zeros(0, np.int64)
-        logs = np.concatenate([np.frombuffer(x, np.float32) for x in answers["logs"]]) if len(answers) else np.zeros(0, np.float32)
-        order = np.argsort(codes)
-        codes, logs = codes[order], logs[order].astype(np.float64)
-        mean = []
-        for lang, n, data in zip(rows["lang"], rows["n_words"], rows["ids"], strict=True):
-            lang = None if not isinstance(lang, str) else lang
-            mean.append(None if data is None or not n else -float(logs[np.searchsorted(codes, vocabulary.trigrams(lang, _ids(data)))].mean()))
-        return pd.DataFrame({"doc_id": rows["doc_id"].astype("Int64"), "lang": rows["lang"], "n_words": rows["n_words"], "log_perplexity": pd.array(mean, "Float64")})
-
-    asked = texts.where("ids is not null and n_words > 0").select("block", "lang", "ids").mapInArrow(ask, "block long, shard int, codes binary")
-
-    def dealt(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard_of(batch.column(0).to_numpy(zero_copy_only=False), shards).astype(np.int32))], ["code", "n", "shard"])
-    answers = counts.mapInArrow(dealt, "code long, n long, shard int").groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(answer, "block long, codes binary, logs binary")
-    done = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(finish, "doc_id long, lang string, n_words long, log_perplexity double")
-    return written(done, "scored")
-
-
 def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
     """(doc_id, lang, n_words, perplexity, kept) for every row of ``docs``; ``trusted`` (doc_id) names the text to learn from.
 
-    Documents of fewer than ``LEAST`` words, those of a language with no common word, and those of a language without
-    trusted text are kept unjudged; a null or empty text has a null perplexity.  Null ids stay null; a null language is
+    Documents of fewer than ``LEAST`` words and those of a language without trusted text are kept unjudged; a text
+    without words or without trusted text of its language has a null perplexity.  Null ids stay null; a null language is
     a language of its own; repeated rows count and come out as often as they are.  An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    found, totals = common_words(rows, SHARE)
-    vocabulary = Vocabulary(found)
-    texts = encoded(rows, vocabulary)
+    blocks = ngrams.encoded(rows)
     good = trusted.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct()
     held_out = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0  # texts that were counted would look better than others
-    counts = trigram_counts(texts.join(good.where(~held_out), "doc_id", "left_semi"), vocabulary)
-    model = train(counts, vocabulary)
-    table = scored(texts, counts, vocabulary, model, sum(totals.values()))
+    tokens = blocks.agg(F.sum(F.expr("aggregate(n_words, 0L, (a, n) -> a + n)"))).first()[0] or 0
+    shards = max(1, -(-tokens // ngrams.SHARD))
+    counts = ngrams.trigram_counts(blocks, good.where(~held_out), shards)
+    table = ngrams.scored(blocks, ngrams.Model(counts), shards)
     judged = table.where(F.col("log_perplexity").isNotNull() & (F.col("n_words") >= LEAST)).join(good.where(held_out), "doc_id", "left_semi")
     # Quantiles from counts in narrow bins: as many rows as bins, and the same however the rows are dealt out.
     band = sum((F.when(F.col("n_words") >= n, 1).otherwise(0) for n in BANDS), F.lit(0))
