@@ -2,7 +2,7 @@
 
 Documents longer than a sequence are cut into full pieces and a rest.  Only the histogram of piece lengths (at most
 2048 entries, whatever the input) comes to the driver: lengths are placed longest first, each into the pack pattern
-with the most room left, and only counts of patterns are kept.  A piece finds its place by its rank among the pieces
+with the most room left, or where none has room, as many to a new pack as it holds, and only counts of patterns are kept.  A piece finds its place by its rank among the pieces
 of its length: the pattern, the sequence and the offset follow from it.
 """
 
@@ -51,7 +51,11 @@ def patterns(histogram: dict[int, int], size: int = 2048) -> list[tuple[int, lis
         while left:
             widest = max((r for r in room if room[r]), default=-1)
             if widest < length:
-                room[size - length].append((left, [length]))
+                # Nothing open has room: as many of the length as fit share a new pack, what is over opens the last.
+                fit = size // length
+                for count, n in ((left // fit, fit), (1, left % fit)):
+                    if count and n:
+                        room[size - n * length].append((count, [length] * n))
                 break
             count, lengths = room[widest].pop()
             used = min(count, left)
