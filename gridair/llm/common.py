@@ -70,6 +70,23 @@ def running_sum(df: DataFrame, keys: list[str], hashed: str, value: str, out: st
             .drop("_bucket", "_inner", "_offset"))
 
 
+def ranked(df: DataFrame, keys: list[str], order: list[str], weight: str, out: str) -> DataFrame:
+    """Adds ``out``: the sum of ``weight`` over the rows of the same ``keys`` that come before in ``order`` (nulls first).
+
+    Rows are dealt to ranges of (``keys``, ``order``), so a group of any size is ranked by many tasks; a range's part of
+    a group starts at the total of the ranges before it.  Keys must not be null; rows equal in ``order`` get places in
+    any order.
+    """
+    ranges = written(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    by = [*keys, "_range"]
+    totals = ranges.groupBy(*by).agg(F.sum(weight).alias("_total"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*by, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
+    inner = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return (ranges.withColumn("_inner", F.coalesce(F.sum(weight).over(inner), F.lit(0))).join(offsets, by)
+            .withColumn(out, F.col("_inner") + F.col("_offset")).drop("_range", "_inner", "_offset"))
+
+
 def spread_hash(*cols) -> "F.Column":
     """An evenly spread long from 0 to 2**62 - 1 (first 62 bits of an md5), the same in any engine."""
     return F.shiftright(F.conv(F.substring(F.md5(F.concat_ws("|", *cols)), 1, 16), 16, -10).cast("long"), 2).bitwiseAND(F.lit((1 << 62) - 1))

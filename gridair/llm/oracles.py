@@ -99,3 +99,62 @@ o AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY {names} ORDER BY substr(
 e AS (SELECT *, unnest(range(0, CAST(full_epochs AS BIGINT) + 1)) AS epoch FROM o)
 SELECT doc_id, {names}, CAST(epoch AS INT) AS epoch, tokens, CAST(taken AS BIGINT) AS taken
 FROM (SELECT *, CASE WHEN epoch < full_epochs THEN tokens ELSE greatest(0, least(tokens, rest - before)) END AS taken FROM e) WHERE taken > 0"""
+
+
+def op11(marked: str) -> str:
+    plain = "string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)"
+    return f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-1, 0, 'user', '{marked}'), (-1, 1, 'assistant', '{marked}')),
+m AS (SELECT *, regexp_replace(text, '<(\\\\*)\\|', '<\\\\\\1|', 'g') AS escaped,
+             replace(replace(replace(role, '\\', '\\\\'), chr(10), '\\n'), '|', '\\p') AS named FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256({plain}) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length('<|im_start|>' || named || chr(10) || escaped || '<|im_end|>' || chr(10))) AS BIGINT) AS formatted_chars
+FROM m GROUP BY conv_id"""
+
+
+OP12 = """
+WITH RECURSIVE f AS (SELECT doc_id, lang, n_chars, source, text, CAST(doc_id AS VARCHAR) AS name FROM documents),
+z AS (SELECT *, list_reduce(list_concat([4294967295], flatten(list_transform(range(1, length(name) + 1), lambda i: [CAST(ascii(substr(name, i, 1)) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+             lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1))) AS crc FROM f),
+d AS (SELECT *, coalesce(octet_length(encode(name)) || ':' || name, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+             || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS head, coalesce(octet_length(encode(text)) || ':' || text, '-') AS body,
+             n_chars + CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN 1 ELSE 0 END AS seen FROM z),
+l AS (SELECT doc_id, lang, sha256(head || coalesce(length(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || body) AS leaf,
+             sha256(head || coalesce(length(CAST(seen AS VARCHAR)) || ':' || seen, '-') || body) AS now FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l),
+tree AS (SELECT lang, 0 AS level, pos, leaf AS node, count(*) OVER (PARTITION BY lang) AS n FROM r
+       UNION ALL SELECT lang, level, pos, node, count(*) OVER (PARTITION BY lang) FROM (
+           SELECT lang, level + 1 AS level, pos // 2 AS pos, sha256(string_agg(node, '' ORDER BY pos)) AS node FROM tree WHERE n > 1 GROUP BY lang, level, pos // 2)),
+subs AS (SELECT lang, node AS subroot, level AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM tree WHERE n = 1),
+top AS (SELECT 0 AS level, place AS pos, subroot AS node, count(*) OVER () AS n FROM subs
+        UNION ALL SELECT level, pos, node, count(*) OVER () FROM (
+            SELECT level + 1 AS level, pos // 2 AS pos, sha256(string_agg(node, '' ORDER BY pos)) AS node FROM top WHERE n > 1 GROUP BY level, pos // 2)),
+step AS (SELECT a.lang, a.level, a.pos, b.node AS beside, b.pos < a.pos AS before FROM tree a LEFT JOIN tree b
+           ON a.lang IS NOT DISTINCT FROM b.lang AND a.level = b.level AND b.pos = xor(a.pos, 1) WHERE a.n > 1),
+beyond AS (SELECT a.level, a.pos, b.node AS beside, b.pos < a.pos AS before FROM top a LEFT JOIN top b ON a.level = b.level AND b.pos = xor(a.pos, 1) WHERE a.n > 1),
+ways AS (SELECT r.doc_id, r.lang, r.pos, r.leaf, r.now, s.level, s.beside, s.before FROM r JOIN step s ON r.lang IS NOT DISTINCT FROM s.lang AND s.pos = r.pos >> s.level
+         UNION ALL SELECT r.doc_id, r.lang, r.pos, r.leaf, r.now, subs.height + o.level, o.beside, o.before
+         FROM r JOIN subs ON r.lang IS NOT DISTINCT FROM subs.lang JOIN beyond o ON o.pos = subs.place >> o.level),
+path AS (SELECT lang, pos, list({'beside': coalesce(beside, ''), 'first': coalesce(before, false)} ORDER BY level) AS p, string_agg(coalesce(beside, ''), '' ORDER BY level) AS proof FROM ways GROUP BY 1, 2),
+whole AS (SELECT r.*, coalesce(proof, '') AS proof, list_concat([{'beside': now, 'first': false}], coalesce(p, [])) AS p
+          FROM r LEFT JOIN path ON r.lang IS NOT DISTINCT FROM path.lang AND r.pos = path.pos),
+folded AS (SELECT *, list_reduce(p, lambda a, x: {'beside': sha256(CASE WHEN x.first THEN x.beside || a.beside ELSE a.beside || x.beside END), 'first': false}).beside AS folded_root FROM whole)
+SELECT doc_id, leaf, subroot, (SELECT node FROM top WHERE n = 1) AS root, sha256(proof) AS proof_sha256, folded_root,
+       folded_root = (SELECT node FROM top WHERE n = 1) AS verified
+FROM folded JOIN subs ON folded.lang IS NOT DISTINCT FROM subs.lang"""
+
+OP13 = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+      FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, own, vec_id AS positive_id, score AS positive_score FROM s WHERE label = own
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.anchor_id, positive_id, s.vec_id AS negative_id, positive_score, score AS negative_score,
+             row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, s.vec_id) AS rank
+      FROM p JOIN s ON p.anchor_id = s.anchor_id AND s.label <> p.own AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10"""

@@ -51,7 +51,7 @@ def texts():
 @pytest.mark.parametrize("name", list(queries.SQL))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     df = e.queries()[name](spark, FOLDER)
     cols = sorted(df.columns)
