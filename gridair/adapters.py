@@ -55,6 +55,21 @@ ADAPTERS: dict[str, str] = {
                CAST(o_orderdate AS DATE) AS day,
                CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / (count(*) * 500029E0) AS no2
         FROM {{orders}} GROUP BY 1, 2, 3, 4, 5""",
+    # Station days with a satellite column, weather and static layers, as a national training run takes them.
+    "national": f"""
+        SELECT concat('ST', CAST({_STATION} AS STRING)) AS station_id,
+               concat('City', CAST({_SCITY} AS STRING)) AS city,
+               {_north(_SCITY)} - 0.005E0 - (({_STATION} * 37) % 440) / 1000E0 AS lat,
+               {_west(_SCITY)} + 0.005E0 + (({_STATION} * 53) % 340) / 1000E0 AS lon,
+               CAST(o_orderdate AS DATE) AS day,
+               CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / (count(*) * 500029E0) AS no2,
+               CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / (count(*) * 50021E0) AS column,
+               CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) / (count(*) * 10.007E0) - 2.5E0 AS u10,
+               CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / (count(*) * 1.6647E0) - 3E0 AS v10,
+               300E0 + CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS DOUBLE) * 100E0 / (count(*) * 0.9997E0) AS blh,
+               CAST(({_STATION} * 91) % 900 AS DOUBLE) AS elevation, CAST(({_STATION} * 57) % 1000 AS DOUBLE) AS population,
+               CAST(({_STATION} * 29) % 100 AS DOUBLE) AS road_density
+        FROM {{orders}} JOIN {{lineitem}} ON l_orderkey = o_orderkey GROUP BY 1, 2, 3, 4, 5, 11, 12, 13""",
     "cells": f"""
         SELECT {_SUPP_AREA} AS area_id,
                {EPOCH} + CAST((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS INT) AS day,

@@ -292,22 +292,23 @@ def regression_metrics(df: DataFrame, obs: str, pred: str, by: Iterable[str] = (
     return df.groupBy(*by).agg(*_scores(F.col(obs), F.col(pred)))
 
 
-def summarize_predictions(df: DataFrame, obs: str = "no2", pred: str = "pred") -> DataFrame:
+def summarize_predictions(df: DataFrame, obs: str = "no2", pred: str = "pred", by: Iterable[str] = ()) -> DataFrame:
     """Scores of all rows, of station means, and of departures from station means, plus the median r within
-    stations with more than five rows: one row per part."""
+    stations with more than five rows: one row per part (of each group of ``by``)."""
+    by = list(by)
     rows = df.where(F.col(obs).isNotNull() & F.col(pred).isNotNull())
-    means = rows.groupBy("station_id").agg(F.avg(obs).alias("_mo"), F.avg(pred).alias("_mp"),
-                                           F.count("*").alias("_n"), pearson(F.col(obs), F.col(pred)).alias("_r"))
-    departures = (rows.join(means, "station_id")
-                  .select((F.col(obs) - F.col("_mo")).alias("o"), (F.col(pred) - F.col("_mp")).alias("p")))
-    within = exact_quantiles(means.where(F.col("_n") > 5), [], "_r", {"median_within_station_r": 0.5})
+    means = rows.groupBy(*by, "station_id").agg(F.avg(obs).alias("_mo"), F.avg(pred).alias("_mp"),
+                                                F.count("*").alias("_n"), pearson(F.col(obs), F.col(pred)).alias("_r"))
+    departures = (rows.join(means, [*by, "station_id"])
+                  .select(*by, (F.col(obs) - F.col("_mo")).alias("o"), (F.col(pred) - F.col("_mp")).alias("p")))
+    within = exact_quantiles(means.where(F.col("_n") > 5), by, "_r", {"median_within_station_r": 0.5})
 
     def part(name: str, table: DataFrame, o: str, p: str) -> DataFrame:
-        return regression_metrics(table, o, p).withColumn("part", F.lit(name))
+        return regression_metrics(table, o, p, by).withColumn("part", F.lit(name))
 
     parts = (part("overall", rows, obs, pred).unionByName(part("station_mean_spatial", means, "_mo", "_mp"))
              .unionByName(part("temporal_anomaly", departures, "o", "p")))
-    return parts.withColumn("median_within_station_r", within.scalar())
+    return parts.join(within, by, "left") if by else parts.withColumn("median_within_station_r", within.scalar())
 
 
 def select_model(metrics: DataFrame) -> DataFrame:
