@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Callable
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -24,31 +24,31 @@ WATERMARK = "2 hours"
 
 
 # --------------------------------------------------------------------------------------------- jobs
-def haze_windows(readings: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """Latest reading, count, mean and maximum of the last 72 hours, every hour (append mode).
+def haze_windows(readings: DataFrame, watermark: str = WATERMARK, by: tuple[str, ...] = ()) -> DataFrame:
+    """Latest reading, count, mean and maximum of the last 72 hours, every hour, of each group of ``by`` (append mode).
 
     Readings are folded to hours first; only the hourly rows enter the 72 overlapping windows.
     """
     x = F.col("haze_index")
-    hourly = (readings.withWatermark("ts", watermark).groupBy(F.window("ts", "1 hour"))
+    hourly = (readings.withWatermark("ts", watermark).groupBy(F.window("ts", "1 hour"), *by)
               .agg(F.count("*").alias("n"), F.sum(x).alias("s"), F.max(x).alias("m"), F.max(F.struct("ts", "haze_index")).alias("l")))
-    w = hourly.groupBy(F.window(F.window_time("window"), "72 hours", "1 hour")).agg(
+    w = hourly.groupBy(F.window(F.window_time("window"), "72 hours", "1 hour"), *by).agg(
         F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("mean"), F.max("m").alias("max"), F.max("l").alias("l"))
-    return w.select(F.col("window.end").alias("window_end"), F.col("l.ts").alias("latest_ts"), F.col("l.haze_index").alias("latest_index"),
+    return w.select(*by, F.col("window.end").alias("window_end"), F.col("l.ts").alias("latest_ts"), F.col("l.haze_index").alias("latest_index"),
                     bands.haze_class(F.col("l.haze_index")).alias("latest_class"), "n", F.round("mean", 3).alias("mean"), F.round("max", 3).alias("max"))
 
 
 def latest_cells(observations: DataFrame, granule: list[str] | None = None, watermark: str = WATERMARK) -> DataFrame:
-    """Newest cloud-free observation per cell (update or complete mode).
+    """Newest cloud-free observation per cell and how many there were (update or complete mode).
 
     State is one row per cell, and late granules cannot replace newer values.  ``granule`` names the columns that
-    identify an observation sent twice.
+    identify an observation sent twice; those are remembered until the watermark has passed them.
     """
     clear = observations.where(F.col("no2").isNotNull() & (F.col("cloud_fraction") < C.MAX_CLOUD_FRACTION)).withWatermark("ts", watermark)
     if granule:
         clear = clear.dropDuplicatesWithinWatermark(granule)
-    best = clear.groupBy("row", "col").agg(F.max(F.struct("ts", "no2", "u", "v")).alias("b"))
-    return best.select("row", "col", F.col("b.ts").alias("ts"), F.col("b.no2").alias("no2"), F.col("b.u").alias("u"), F.col("b.v").alias("v"))
+    best = clear.groupBy("row", "col").agg(F.max(F.struct("ts", "no2", "u", "v")).alias("b"), F.count("*").alias("n"))
+    return best.select("row", "col", F.col("b.ts").alias("ts"), F.col("b.no2").alias("no2"), F.col("b.u").alias("u"), F.col("b.v").alias("v"), "n")
 
 
 def daily_means(readings: DataFrame, start: int = 12, end: int = 16, min_completeness: float = C.MIN_COMPLETENESS,
@@ -67,64 +67,9 @@ def session_windows(messages: DataFrame, gap: str = "1 hour", watermark: str = W
     return g.select("conv_id", F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "turns", "last_turn")
 
 
-SESSION_OUTPUT = "conv_id bigint, kept int, first_turn bigint, last_turn bigint, expired boolean"
-SESSION_STATE = "turns array<bigint>, last_ms bigint"
-
-
-def _keep_last(keep: int, idle_s: int):
-    """Update of one session's state: its last ``keep`` turns, dropped after ``idle_s`` without a message."""
-
-    def update(key, batches, state):
-        conv = int(key[0])
-        if state.hasTimedOut:
-            turns = list(state.get[0])
-            state.remove()
-            yield pd.DataFrame({"conv_id": [conv], "kept": [0], "first_turn": [turns[0]], "last_turn": [turns[-1]], "expired": [True]})
-            return
-        turns, last = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
-        for pdf in batches:
-            last = max(last, int(pdf["ts"].max().timestamp() * 1000))
-            turns = sorted(set(turns) | {int(t) for t in pdf["turn"]})[-keep:]
-        state.update((turns, last))
-        state.setTimeoutTimestamp(max(last + idle_s * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"conv_id": [conv], "kept": [len(turns)], "first_turn": [turns[0]], "last_turn": [turns[-1]], "expired": [False]})
-
-    return update
-
-
-def session_history(messages: DataFrame, keep: int = 50, idle_s: int = 3600, watermark: str = WATERMARK) -> DataFrame:
-    """History kept per session after every message, and its expiry (update mode).  State holds ``keep`` turn
-    numbers per session however long the session is."""
-    return (messages.select("conv_id", "turn", "ts").withWatermark("ts", watermark).groupBy("conv_id")
-            .applyInPandasWithState(_keep_last(keep, idle_s), SESSION_OUTPUT, SESSION_STATE, "update", "EventTimeTimeout"))
-
-
-# --------------------------------------------------------------------------------------------- refreshed tables
-def upsert_latest(path: str, keys: list[str], order: str = "fetched_at") -> Callable[[DataFrame, int], None]:
-    """Batch writer for ``foreachBatch``: the newest row per key of the batch becomes version ``batch_id``.
-
-    A version is one folder and is replaced as a whole when a batch runs again, so that a retry after a lost
-    executor cannot write twice.
-    """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        others = [c for c in batch.columns if c not in (*keys, order)]
-        newest = (batch.groupBy(*keys).agg(F.max(F.struct(order, *others)).alias("_b"))
-                  .select(*keys, F.col(f"_b.{order}").alias(order), *[F.col(f"_b.{c}").alias(c) for c in others]))
-        newest.withColumn("version", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(path)
-    return write
-
-
-def read_latest(spark: SparkSession, path: str, keys: list[str], now: Column, order: str = "fetched_at", stale_after: str = "20 minutes") -> DataFrame:
-    """Last good row per key over all versions, flagged stale when it is older than ``stale_after``."""
-    df = spark.read.parquet(path)
-    others = [c for c in df.columns if c not in (*keys, order, "version")]
-    best = df.groupBy(*keys).agg(F.max(F.struct(order, "version", *others)).alias("_b"))
-    out = best.select(*keys, F.col(f"_b.{order}").alias(order), *[F.col(f"_b.{c}").alias(c) for c in others])
-    return out.withColumn("stale", F.col(order) < now - F.expr(f"interval {stale_after}"))
-
-
+# --------------------------------------------------------------------------------------------- progress
 def dropped_rows(query: StreamingQuery) -> int:
-    """Rows the query has dropped as too late so far (progress Spark still holds)."""
+    """Rows the query has dropped as too late in the last hundred batches, whose progress Spark holds (``late.DropCounter`` keeps all)."""
     return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for op in p["stateOperators"])
 
 
@@ -134,9 +79,23 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+@contextmanager
+def state_store(spark: SparkSession, provider: str | None) -> Iterator[None]:
+    """Streams started inside keep their state in ``provider`` (the session's own if None)."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    if provider:
+        spark.conf.set(name, provider)
+    try:
+        yield
+    finally:
+        if provider:
+            spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
+def run_available(stream: DataFrame, name: str, mode: str = "append", provider: str | None = None) -> DataFrame:
     """Process what is available and return the written table: all rows in append and update mode, the last
-    result in complete mode."""
+    result in complete mode.  ``provider`` is the state store's class if not the session's."""
     spark = stream.sparkSession
     folder = work_folder(spark, name)
     out = f"{folder}/out"
@@ -144,8 +103,9 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("version", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(out)
 
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").foreachBatch(write).trigger(availableNow=True).start()
-    q.awaitTermination()
+    with state_store(spark, provider):
+        q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").foreachBatch(write).trigger(availableNow=True).start()
+        q.awaitTermination()
     schema = stream.withColumn("version", F.lit(0)).schema
     df = spark.read.schema(schema).parquet(out)
     if mode == "complete":
