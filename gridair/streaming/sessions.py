@@ -82,5 +82,9 @@ def session_histories(messages: DataFrame, keep: int = 50, idle_s: int = 3600, w
 
 
 def live_histories(messages: DataFrame, keep: int = 50, idle_s: int = 3600) -> DataFrame:
-    """Histories whose turns are forgotten ``idle_s`` after they arrived, by the clock (time to live of the state); no rows at the end."""
+    """Histories whose turns are forgotten ``idle_s`` after they arrived, by the clock (time to live of the state); no rows at the end.
+
+    State by the clock asks for a batch at every trigger, also without data: run it on an interval, or, to take what is
+    available and stop, with ``spark.sql.streaming.noDataMicroBatches.enabled`` off.
+    """
     return messages.select("conv_id", "turn", "ts").groupBy("conv_id").transformWithStateInPandas(History(keep, idle_s * 1000, True), HISTORY, "Update", "ProcessingTime")
