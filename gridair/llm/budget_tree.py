@@ -43,7 +43,9 @@ def _share_out(children: DataFrame, parents: list[str], child: str) -> DataFrame
     Children are ordered by cap / w.  Those before some point are used up; the rest share what is left by weight, and
     the tokens lost in rounding go to the first of them.
     """
-    order = Window.partitionBy(*parents).orderBy(F.expr("cap * 1000000 div w"), child)
+    # cap / w in whole parts and millionths, neither of which can overflow.
+    ratio = [F.expr("cap div w"), F.expr("(cap % w) * 1000000 div w")]
+    order = Window.partitionBy(*parents).orderBy(*ratio, child)
     past = order.rowsBetween(Window.unboundedPreceding, -1)
     all_ = Window.partitionBy(*parents)
     d = lambda c: F.col(c).cast("decimal(38,0)")
@@ -54,7 +56,7 @@ def _share_out(children: DataFrame, parents: list[str], child: str) -> DataFrame
          .withColumn("w_open", F.sum(F.when(F.col("used_up"), 0).otherwise(F.col("w"))).over(all_))
          .withColumn("even", F.when(F.col("used_up"), F.col("cap")).otherwise(F.expr("bigint(cast(left as decimal(38,0)) * cast(w as decimal(38,0)) div w_open)"))))
     lost = F.col("left") - F.sum(F.when(F.col("used_up"), 0).otherwise(F.col("even"))).over(all_)
-    place = F.row_number().over(Window.partitionBy(*parents).orderBy("used_up", F.expr("cap * 1000000 div w"), child))
+    place = F.row_number().over(Window.partitionBy(*parents).orderBy("used_up", *ratio, child))
     return (x.withColumn("lost", lost).withColumn("place", place)
             .withColumn("got", F.least("cap", F.when(F.col("used_up"), F.col("cap")).otherwise(F.col("even") + F.when(F.col("place") <= F.col("lost"), 1).otherwise(0))))
             .drop("cap_before", "w_left", "used_up", "left", "w_open", "even", "lost", "place"))
