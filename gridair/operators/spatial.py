@@ -143,27 +143,27 @@ def window_max(cells: DataFrame, half: int, value: str, name: str, keys: tuple[s
 
 
 # --------------------------------------------------------------------------------------------- greedy top-n
-def _greedy(field: DataFrame, n: int, score: str, keep: list[str], apart, keys: tuple[str, ...] = DAY_KEY) -> DataFrame:
-    """Repeated maximum with suppression around earlier picks: one aggregation per rank over all groups at once.
+def _greedy(field: DataFrame, n: int, score: str, keep: list[str], apart, disk: Column | int, keys: tuple[str, ...] = DAY_KEY) -> DataFrame:
+    """Repeated maximum with suppression around earlier picks, in one shuffle.
 
-    ``apart(cell, pick)`` says whether a cell is far enough from a pick.  Only the picks (at most ``n`` per
-    group) travel between the rounds.
+    ``apart(cell, pick)`` says whether a cell is far enough from a pick; a pick can suppress at most ``disk`` cells, so
+    the ``n`` picks are among a group's ``n * disk`` highest cells.  These are listed in order and folded once: a cell that
+    is apart from every pick so far becomes the next one.  Ties go to the northern, then western cell.
     """
-    field = cut_lineage(field)
-    best = F.max(F.struct(F.col(score).alias("s"), (-F.col("row")).alias("nr"), (-F.col("col")).alias("nc"), *keep)).alias("_b")
-    picks = None
-    for rank in range(1, n + 1):
-        if picks is None:
-            open_cells = field
-        else:
-            so_far = picks.groupBy(*keys).agg(F.collect_list(F.struct("row", "col", *keep)).alias("_p"))
-            open_cells = (field.join(so_far, list(keys))
-                          .where(F.forall("_p", lambda p: apart(F.struct("row", "col", *keep), p))).drop("_p"))
-        new = (open_cells.groupBy(*keys).agg(best).select(
-            *keys, F.lit(rank).alias("rank"), (-F.col("_b.nr")).alias("row"), (-F.col("_b.nc")).alias("col"),
-            F.col("_b.s").alias(score), *[F.col(f"_b.{k}").alias(k) for k in keep]))
-        picks = cut_lineage(new if picks is None else picks.unionByName(new))
-    return picks
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(score), "row", "col"))
+    cell = F.struct(F.col(score).alias("s"), (-F.col("row")).alias("nr"), (-F.col("col")).alias("nc"), "row", "col", *keep)
+    high = field.withColumn("_n", place).where(F.col("_n") <= disk * n).groupBy(*keys).agg(F.sort_array(F.collect_list(cell), asc=False).alias("_c"))
+    none = F.slice("_c", F.lit(1), F.lit(0))
+    fold = F.aggregate("_c", none, lambda picks, c: F.when((F.size(picks) < n) & F.forall(picks, lambda p: apart(c, p)), F.concat(picks, F.array(c))).otherwise(picks))
+    return (high.select(*keys, F.posexplode(fold).alias("_at", "_p"))
+            .select(*keys, (F.col("_at") + 1).alias("rank"), "_p.row", "_p.col", F.col("_p.s").alias(score), *[F.col(f"_p.{k}").alias(k) for k in keep]))
+
+
+def _disk(cells: Column | float) -> Column | int:
+    """Cells of the square around a disk of that many cells radius: no fewer than the disk has."""
+    if isinstance(cells, (int, float)):
+        return (2 * math.ceil(cells) + 1) ** 2
+    return F.pow(F.ceil(cells) * 2 + 1, F.lit(2.0))
 
 
 def hotspots(cells: DataFrame, grids: DataFrame, static: DataFrame | None = None, places: DataFrame | None = None, n: int = 3,
@@ -176,7 +176,7 @@ def hotspots(cells: DataFrame, grids: DataFrame, static: DataFrame | None = None
     field = gaussian_smooth(full.select(*CELL_KEY, "_v"), sigma, {"_v": "smooth"})
     field = window_max(field, 2, "_v", "peak").select(*CELL_KEY, "smooth", "peak")
     far = lambda c, p: ((c["row"] - p["row"]) * (c["row"] - p["row"]) + (c["col"] - p["col"]) * (c["col"] - p["col"])) > separation ** 2
-    top = G.with_centre(_greedy(field, n, "smooth", ["peak"], far), grids)
+    top = G.with_centre(_greedy(field, n, "smooth", ["peak"], far, _disk(separation)), grids)
     top = (top.withColumn("lat", F.round("lat", 4)).withColumn("lon", F.round("lon", 4)).withColumn("value", F.round("peak", 1))
            .withColumn("band", bands.hazard_band(F.col("peak"), "key")))
     if static is not None:
@@ -193,7 +193,9 @@ def separated_top(cells: DataFrame, grids: DataFrame, places: DataFrame | None =
     c = G.with_centre(cells.where(F.col(value).isNotNull()).select(*CELL_KEY, value), grids)
     c = c.withColumn("lat", F.round("lat", 4)).withColumn("lon", F.round("lon", 4))
     apart = lambda a, p: ((a["lat"] - p["lat"]) * (a["lat"] - p["lat"]) + (a["lon"] - p["lon"]) * (a["lon"] - p["lon"])) >= degrees ** 2
-    top = _greedy(c, n, value, ["lat", "lon"], apart).withColumn(value, F.round(value, 1)).withColumn("severity", bands.severity(F.col(value)))
+    # One cell more than the distance: centres are rounded to four decimals.
+    c = c.join(grids.select("area_id", F.col("res").alias("_res")), "area_id")
+    top = _greedy(c, n, value, ["lat", "lon"], apart, _disk(F.lit(degrees) / F.col("_res") + 1)).withColumn(value, F.round(value, 1)).withColumn("severity", bands.severity(F.col(value)))
     if places is None:
         return top
     near = within_radius(top.select(*DAY_KEY, "rank", "lat", "lon"),

@@ -227,10 +227,22 @@ def date_blocks(df: DataFrame, n: int = 5, day: str = "day") -> DataFrame:
     return df.select(day).distinct().withColumn("date_block", F.ntile(n).over(Window.orderBy(day)) - 1)
 
 
+#: Parts of the hash order in which stations are ranked.
+_PARTS = 1024
+
+
 def station_groups(df: DataFrame, n: int = 5) -> DataFrame:
-    """Stations spread over ``n`` groups by a hash of their id (repeatable on any partitioning)."""
-    return (df.select("station_id").distinct()
-            .withColumn("station_group", (strings.hash_number(F.col("station_id")) % n).cast("int")))
+    """Stations dealt in turn to ``n`` groups, in the order of a hash of their id: group sizes differ by one at most.
+
+    The exact rank needs no window over all stations: the hash order is cut into ``_PARTS`` parts, a station's rank is
+    its place in its part plus the sizes of the parts before it, and only these sizes are gathered.
+    """
+    hashed = F.md5(F.col("station_id").cast("string"))
+    stations = df.select("station_id").distinct().withColumn("_h", hashed).withColumn("_part", F.shiftright(strings.hash_number(F.col("station_id")), 22))
+    sizes = stations.groupBy("_part").agg(F.count("*").alias("_n")).agg(F.collect_list(F.struct("_part", "_n"))).scalar()
+    before = F.aggregate(F.filter("_sizes", lambda x: x["_part"] < F.col("_part")), F.lit(0).cast("long"), lambda a, x: a + x["_n"])
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("_h", "station_id"))
+    return stations.withColumn("_place", place).withColumn("_sizes", sizes).select("station_id", ((F.col("_place") - 1 + before) % n).cast("int").alias("station_group"))
 
 
 def space_time_folds(df: DataFrame, n: int = 5) -> DataFrame:

@@ -163,7 +163,8 @@ _NATIONAL_FEATURES = ("column", "pbl_conc", "pbl_conc_anom", "blh", "u10", "v10"
 
 @query("mod_10_train_national", """
 WITH d AS (SELECT day, ntile(5) OVER (ORDER BY day) - 1 AS date_block FROM (SELECT DISTINCT day FROM national) x),
-f AS (SELECT n.*, CAST(date_block AS VARCHAR) AS b, CAST(CAST('0x' || substr(md5(station_id), 1, 8) AS BIGINT) % 5 AS VARCHAR) AS g, CAST(year(day) AS VARCHAR) AS y FROM national n JOIN d USING (day)),
+i AS (SELECT station_id, CAST((row_number() OVER (ORDER BY md5(station_id), station_id) - 1) % 5 AS VARCHAR) AS g FROM (SELECT DISTINCT station_id FROM national) x),
+f AS (SELECT n.*, CAST(date_block AS VARCHAR) AS b, g, CAST(year(day) AS VARCHAR) AS y FROM national n JOIN d USING (day) JOIN i USING (station_id)),
 s AS (SELECT 'unseen_stations_and_dates' AS design, a.g || '/' || a.b AS fold, count(*) AS predicted_rows, avg(no2) AS m,
              (SELECT count(*) FROM f o WHERE o.g <> a.g AND o.b <> a.b) AS train_rows FROM f a GROUP BY a.g, a.b
       UNION ALL SELECT 'unseen_cities', city, count(*), avg(no2), (SELECT count(*) FROM f) - count(*) FROM f WHERE (SELECT count(DISTINCT city) FROM f) > 1 GROUP BY city

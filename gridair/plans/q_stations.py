@@ -256,16 +256,17 @@ def win_10(t: Tables):
     return S.date_blocks(t.stations_daily)
 
 
-@query("win_10_station_groups", "SELECT station_id, CAST(CAST('0x' || substr(md5(station_id), 1, 8) AS BIGINT) % 5 AS INT) AS station_group FROM (SELECT DISTINCT station_id FROM stations_daily) s")
+@query("win_10_station_groups", "SELECT station_id, CAST((row_number() OVER (ORDER BY md5(station_id), station_id) - 1) % 5 AS INT) AS station_group FROM (SELECT DISTINCT station_id FROM stations_daily) s")
 def win_10b(t: Tables):
     return S.station_groups(t.stations_daily)
 
 
 @query("mod_07_space_time_folds", """
 WITH d AS (SELECT day, ntile(5) OVER (ORDER BY day) - 1 AS date_block FROM (SELECT DISTINCT day FROM stations_daily) x),
-f AS (SELECT s.station_id, s.day, CAST(d.date_block AS INT) AS date_block,
-             CAST(CAST('0x' || substr(md5(station_id), 1, 8) AS BIGINT) % 5 AS INT) AS station_group
-      FROM stations_daily s JOIN d USING (day))
+i AS (SELECT station_id, CAST((row_number() OVER (ORDER BY md5(station_id), station_id) - 1) % 5 AS INT) AS station_group
+      FROM (SELECT DISTINCT station_id FROM stations_daily) x),
+f AS (SELECT s.station_id, s.day, CAST(d.date_block AS INT) AS date_block, station_group
+      FROM stations_daily s JOIN d USING (day) JOIN i USING (station_id))
 SELECT a.station_group, a.date_block, count(*) AS test_rows,
        (SELECT count(*) FROM f b WHERE b.station_group <> a.station_group AND b.date_block <> a.date_block) AS train_rows
 FROM f a GROUP BY 1, 2""")
