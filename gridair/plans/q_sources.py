@@ -423,3 +423,36 @@ def snk_04(t: Tables):
     W.write_daily(t.cells.where("area_id % 2 = 0").select(*K, (F.col("no2") + 1).alias("no2")), folder)
     back = t.spark.read.parquet(folder)
     return back.groupBy("area_id", "day").agg(F.count("*").alias("cells"), r(F.max("no2")).alias("top"))
+
+
+# --------------------------------------------------------------------------------------------- source protocols
+def _provided(t: Tables, name: str, kind: str, by: tuple[str, ...]):
+    """A domain table as a provider would deliver it, read through the source protocol."""
+    from gridair.sources import protocol
+    from gridair.streaming.jobs import work_folder
+    folder = f"{work_folder(t.spark, kind)}/table"
+    t.table(name).withColumn("year", F.year("day")).repartition(*by).write.partitionBy(*by).parquet(folder)
+    protocol.register(t.spark)
+    return t.spark.read.format("gridair").option("kind", kind).load(folder)
+
+
+@query("udx_04_satellite_source", "SELECT area_id, row, col, count(*) AS n, round(avg(no2), 6) AS mean FROM cells WHERE area_id % 2 = 0 AND day >= DATE '2024-01-20' AND day < DATE '2024-02-20' GROUP BY 1, 2, 3")
+def udx_04a(t: Tables):
+    """The filter on days leaves folders out; the one on areas is Spark's."""
+    d = _provided(t, "cells", "satellite", ("area_id", "day")).where("area_id % 2 = 0 AND day >= DATE '2024-01-20' AND day < DATE '2024-02-20'")
+    return d.groupBy("area_id", "row", "col").agg(F.count("*").alias("n"), F.round(F.avg("no2"), 6).alias("mean"))
+
+
+@query("udx_04_ground_source", "SELECT station_id, day, no2 FROM stations_daily WHERE year(day) IN (1993, 1995) AND no2 IS NOT NULL")
+def udx_04b(t: Tables):
+    return _provided(t, "stations_daily", "ground", ("year",)).where("year IN (1993, 1995) AND no2 IS NOT NULL").select("station_id", "day", "no2")
+
+
+@query("src_03_read_cells", "SELECT area_id, count(*) AS n, round(sum(no2), 4) AS total FROM cells GROUP BY 1")
+def src_03_file(t: Tables):
+    """A cell table in a file, read with its guard against two values for a cell and day."""
+    from gridair.sources import ingest
+    from gridair.streaming.jobs import work_folder
+    path = f"{work_folder(t.spark, 'cells')}/table"
+    t.cells.write.parquet(path)
+    return ingest.read_cells(t.spark, path).groupBy("area_id").agg(F.count("*").alias("n"), F.round(F.sum("no2"), 4).alias("total"))
