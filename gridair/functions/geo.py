@@ -32,9 +32,10 @@ def bearing_deg(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
 
 
 def flat_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Equirectangular distance used between stations; the cosine is taken at point 1."""
+    """Equirectangular distance used between stations, the short way round the globe; the cosine is taken at point 1."""
     dy = (lat1 - lat2) * C.STATION_KM_LAT
-    dx = (lon1 - lon2) * C.STATION_KM_LON * F.cos(F.radians(lat1))
+    way = F.abs(lon1 - lon2)
+    dx = F.when(way > 180.0, 360.0 - way).otherwise(way) * C.STATION_KM_LON * F.cos(F.radians(lat1))
     return F.sqrt(dy * dy + dx * dx)
 
 

@@ -17,16 +17,26 @@ from pyspark.sql import functions as F
 from gridair import constants as C
 from gridair.functions import geo
 
-MAX_ABS_LAT = 75.0  # longitude buckets are sized for latitudes up to this
-
-
 def _bucket(v: Column, size: float) -> Column:
     return F.floor(v / size).cast("long")
 
 
-def _spans(km: float) -> tuple[float, float]:
-    """Bucket height and width in degrees that no radius of ``km`` can leap over."""
-    return km / C.STATION_KM_LAT, km / (C.STATION_KM_LON * math.cos(math.radians(MAX_ABS_LAT)))
+def _east(lon: Column) -> Column:
+    """Degrees east of the date line, from 0 to below 360."""
+    return F.pmod(lon + 180.0, F.lit(360.0))
+
+
+def _bands(km: float) -> tuple[float, int]:
+    """Height in degrees and number of the latitude bands from pole to pole that no radius of ``km`` can leap over."""
+    height = km * 1.01 / C.STATION_KM_LAT
+    return height, math.ceil(180.0 / height)
+
+
+def _cells(band: Column, height: float, km: float) -> Column:
+    """Cells around the globe in a band: each as wide as the radius is anywhere in the band or the next one to the pole."""
+    farthest = F.greatest(F.abs((band - 1) * height - 90.0), F.abs((band + 2) * height - 90.0))
+    width = km * 1.01 / C.STATION_KM_LON / F.cos(F.radians(farthest))
+    return F.when(farthest >= 90.0, 1).otherwise(F.greatest(F.lit(1), F.floor(360.0 / width))).cast("long")
 
 
 def within_radius(points: DataFrame, sources: DataFrame, km: float, *, lat: str = "lat", lon: str = "lon",
@@ -34,20 +44,22 @@ def within_radius(points: DataFrame, sources: DataFrame, km: float, *, lat: str
                   condition: Callable[[DataFrame, DataFrame], Column] | None = None) -> DataFrame:
     """All (point, source) rows that may lie within ``km``; callers filter by their own exact distance.
 
-    Sources are repeated into the 3 x 3 buckets around them and joined on the bucket.  Rows outside the
-    supported latitudes raise, because a bucket there could be leapt over.
+    The globe is cut into latitude bands, each with cells of its own width that go round it: fewer towards the poles, one
+    at them, and the last beside the first at the date line.  Sources are repeated into the cells around them in their own
+    band and the two beside it, and joined on band and cell.  Rows without coordinates have no partner.
     """
-    dy, dx = _spans(km * 1.01)
+    height, n = _bands(km)
+    band = lambda c: F.least(_bucket(F.col(c) + 90.0, height), F.lit(n - 1))
+    cell = lambda c, b: F.least(F.floor(_east(F.col(c)) * _cells(b, height, km) / 360.0).cast("long"), _cells(b, height, km) - 1)
     near = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    p = (points.withColumn("_by", _bucket(F.col(lat), dy)).withColumn("_bx", _bucket(F.col(lon), dx)))
-    s = (sources.withColumn("_iy", F.explode(near)).withColumn("_ix", F.explode(near))
-         .withColumn("_sy", _bucket(F.col(src_lat), dy) + F.col("_iy"))
-         .withColumn("_sx", _bucket(F.col(src_lon), dx) + F.col("_ix")).drop("_iy", "_ix"))
+    p = points.withColumn("_by", band(lat)).withColumn("_bx", cell(lon, F.col("_by")))
+    s = (sources.withColumn("_sy", F.explode(F.transform(near, lambda i: band(src_lat) + i))).where((F.col("_sy") >= 0) & (F.col("_sy") < n))
+         .withColumn("_around", _cells(F.col("_sy"), height, km)).withColumn("_mid", cell(src_lon, F.col("_sy")))
+         .withColumn("_sx", F.explode(F.array_distinct(F.transform(near, lambda i: F.pmod(F.col("_mid") + i, F.col("_around")))))).drop("_around", "_mid"))
     on = (p["_by"] == s["_sy"]) & (p["_bx"] == s["_sx"])
     if condition is not None:
         on = on & condition(p, s)
-    guard = F.when(F.abs(F.col(lat)) > MAX_ABS_LAT, F.raise_error(F.lit("latitude beyond the bucket range")))
-    return p.join(s, on).where(guard.isNull()).drop("_by", "_bx", "_sy", "_sx")
+    return p.join(s, on).drop("_by", "_bx", "_sy", "_sx")
 
 
 def radius_mean(obs: DataFrame, sites: DataFrame, km: float, value: str, name: str,
@@ -59,29 +71,32 @@ def radius_mean(obs: DataFrame, sites: DataFrame, km: float, value: str, name: s
     the radius are settled site by site.  Readings at the very same coordinates are subtracted.
     """
     dy = km / C.STATION_KM_LAT / splits
-    dx = dy
+    around_globe = max(1, math.floor(360.0 / dy))
+    dx = 360.0 / around_globe
     src = sites.select("station_id", "lat", "lon").withColumn("_y", _bucket(F.col("lat"), dy)).withColumn(
-        "_x", _bucket(F.col("lon"), dx))
+        "_x", F.least(_bucket(_east(F.col("lon")), dx), F.lit(around_globe - 1)))
     buckets = src.select("_y", "_x").distinct()
     reach_y = splits + 1
-    # Longitude reach grows with latitude; taken from the bucket's own row.
-    edge = F.least(F.lit(MAX_ABS_LAT), (F.abs(F.col("_y")) + reach_y + 1) * dy)
-    reach_x = F.ceil(F.lit(km) / (C.STATION_KM_LON * F.cos(F.radians(edge))) / dx).cast("int") + 1
-    guard = F.when(F.abs(F.col("_y") * dy) > MAX_ABS_LAT - 2, F.raise_error(F.lit("latitude beyond the bucket range")))
-    around = (buckets.where(guard.isNull())
+    # Longitude reach grows with latitude, up to half the globe at the poles; taken from the bucket's own row.
+    edge = (F.abs(F.col("_y")) + reach_y + 2) * dy
+    half = math.ceil(around_globe / 2)
+    reach_x = F.when(edge < 90.0, F.least(F.lit(half), F.ceil(F.lit(km) / (C.STATION_KM_LON * F.cos(F.radians(edge))) / dx) + 1)).otherwise(half).cast("int")
+    around = (buckets
               .withColumn("_j", F.explode(F.sequence(F.lit(-reach_y), F.lit(reach_y))))
               .withColumn("_i", F.explode(F.sequence(-reach_x, reach_x)))
-              .select("_y", "_x", (F.col("_y") + F.col("_j")).alias("_ty"), (F.col("_x") + F.col("_i")).alias("_tx"))
+              .select("_y", "_x", (F.col("_y") + F.col("_j")).alias("_ty"), F.pmod(F.col("_x") + F.col("_i"), F.lit(around_globe)).alias("_tx"))
+              .distinct()
               .join(buckets.select(F.col("_y").alias("_ty"), F.col("_x").alias("_tx")), ["_ty", "_tx"], "left_semi"))
     # Bounds of the distance between any two points of the buckets; the cosine is largest nearest the equator.
     lat_lo = F.least(F.abs(F.col("_y") * dy), F.abs((F.col("_y") + 1) * dy))
     lat_lo = F.when((F.col("_y") < 0) != (F.col("_y") + 1 <= 0), F.lit(0.0)).otherwise(lat_lo)
     lat_hi = F.greatest(F.abs(F.col("_y") * dy), F.abs((F.col("_y") + 1) * dy))
-    gap_y, gap_x = F.abs(F.col("_ty") - F.col("_y")), F.abs(F.col("_tx") - F.col("_x"))
+    gap_y, straight = F.abs(F.col("_ty") - F.col("_y")), F.abs(F.col("_tx") - F.col("_x"))
+    gap_x = F.least(straight, around_globe - straight)
     far = F.sqrt(F.pow((gap_y + 1) * dy * C.STATION_KM_LAT, F.lit(2))
                  + F.pow((gap_x + 1) * dx * C.STATION_KM_LON * F.cos(F.radians(lat_lo)), F.lit(2)))
     close = F.sqrt(F.pow(F.greatest(gap_y - 1, F.lit(0)) * dy * C.STATION_KM_LAT, F.lit(2))
-                   + F.pow(F.greatest(gap_x - 1, F.lit(0)) * dx * C.STATION_KM_LON * F.cos(F.radians(lat_hi)), F.lit(2)))
+                   + F.pow(F.greatest(gap_x - 1, F.lit(0)) * dx * C.STATION_KM_LON * F.cos(F.radians(F.least(lat_hi, F.lit(90.0)))), F.lit(2)))
     pairs = (around.withColumn("_inside", far < km * (1 - 1e-9)).where(F.col("_inside") | (close < km * (1 + 1e-9))))
 
     # The station's own coordinates come from ``sites`` so that one station cannot sit in two buckets.
