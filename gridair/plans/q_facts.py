@@ -10,7 +10,7 @@ from gridair.operators import attribution as A
 from gridair.operators import facts as X
 from gridair.operators import forecast as P
 from gridair.operators import cells as G
-from gridair.plans.q_cells import FILLED, K, filled
+from gridair.plans.q_cells import DENSE, FILLED, K, filled
 from gridair.plans.registry import query
 
 
@@ -359,6 +359,24 @@ def win_09(t: Tables):
     return P.sequence_samples(G.densify_days(t.cells, t.grids), max_null=0.4)
 
 
+@query("win_09_patch_samples", f"""
+WITH {DENSE}, p AS (SELECT d.area_id, d.day, pr.v * 2 AS patch_row, pc.v * 2 AS patch_col, d.no2, d.u10, d.v10 FROM dense d JOIN grids USING (area_id), (SELECT unnest(range(10)) AS v) pr, (SELECT unnest(range(10)) AS v) pc
+ WHERE d.row BETWEEN pr.v * 2 AND pr.v * 2 + 3 AND d.col BETWEEN pc.v * 2 AND pc.v * 2 + 3 AND pr.v * 2 + 4 <= height AND pc.v * 2 + 4 <= width),
+b AS (SELECT area_id, patch_row, patch_col, day, count(*) FILTER (no2 IS NULL) AS n0, count(*) FILTER (u10 IS NULL) + count(*) FILTER (v10 IS NULL) AS nw, coalesce(sum(no2), 0) AS s, coalesce(sum(u10), 0) AS su FROM p GROUP BY 1, 2, 3, 4),
+f AS (SELECT *, n0 + sum(n0) OVER (w ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) + sum(n0 + nw) OVER (w ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS absent,
+ sum(s) OVER (w ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS input_no2, sum(su) OVER (w ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS input_u10,
+ sum(s) OVER (w ROWS BETWEEN 4 FOLLOWING AND 7 FOLLOWING) AS target_no2, lead(day, 7) OVER w AS last_day FROM b WINDOW w AS (PARTITION BY area_id, patch_row, patch_col ORDER BY day))
+SELECT area_id, CAST(patch_row AS INT) AS patch_row, CAST(patch_col AS INT) AS patch_col, day AS start_day, 4 AS frames, 4 AS channels, 16 AS cells, 4 AS target_frames, round(absent / 256E0, 6) AS null_share,
+ round(input_no2, 4) AS input_no2, round(input_u10, 4) AS input_u10, round(target_no2, 4) AS target_no2 FROM f WHERE last_day IS NOT NULL AND absent / 256E0 <= 0.3E0""")
+def win_09_patches(t: Tables):
+    """Patch samples of 4 x 4 cells by their shape, missing share and sums."""
+    s = P.patch_samples(G.densify_days(t.cells, t.grids), t.grids, ("no2", "u10", "v10"), 4, 2)
+    total = lambda x: F.round(F.aggregate(x, F.lit(0.0), lambda a, v: a + v), 4)
+    return s.select("area_id", "patch_row", "patch_col", "start_day", F.size("inputs").alias("frames"), F.size(F.col("inputs")[0]).alias("channels"), F.size(F.col("inputs")[0][0]).alias("cells"),
+                    F.size("targets").alias("target_frames"), F.round("null_share", 6).alias("null_share"), total(F.flatten(F.transform("inputs", lambda f: f[0]))).alias("input_no2"),
+                    total(F.flatten(F.transform("inputs", lambda f: f[1]))).alias("input_u10"), total(F.flatten("targets")).alias("target_no2"))
+
+
 @query("udx_03_custom_scenario", f"""
 WITH bg AS (SELECT area_id, day, greatest(15, least(35, quantile_cont(no2, 0.1))) AS b FROM cells GROUP BY 1, 2)
 SELECT 'half' AS scenario, area_id, day, row, col, round(b * 0.9E0 + greatest(0, no2 - b) * CAST('{P.scenario_scale({"traffic": 0.5, "industrial": 0.5})!r}' AS DOUBLE), 6) AS sim FROM cells JOIN bg USING (area_id, day)""")

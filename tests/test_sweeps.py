@@ -64,3 +64,27 @@ def test_covering_periods_beside_all_pairs(spark):
     assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
     far = [(1, dt.date(1, 1, 1), dt.date(9999, 12, 31))]
     assert P.covering_period(spark.createDataFrame(far, "k long, lo date, hi date"), spark.createDataFrame(far, "k long, lo date, hi date"), ["k"]).count() == 1
+
+
+def test_patch_samples_are_rejected_patch_by_patch(spark):
+    from gridair.operators import forecast as T
+    rng = np.random.default_rng(3)
+    days = [rng.uniform(1, 50, (6, 6)) for _ in range(10)]
+    for d in days:
+        d[:3, :3] = np.where(rng.uniform(size=(3, 3)) < 0.9, np.nan, d[:3, :3])
+    dense = field(spark, days[0], "2025-11-01")
+    for k, d in enumerate(days[1:], 2):
+        dense = dense.unionByName(field(spark, d, f"2025-11-{k:02d}"))
+    got = {(r.patch_row, r.patch_col, r.start_day.day): r for r in T.patch_samples(dense, grid(spark, 6, 6), ("no2",), 3, 3, 2, 3).collect()}
+    for pr in (0, 3):
+        for pc in (0, 3):
+            for start in range(6):
+                b = [d[pr:pr + 3, pc:pc + 3].ravel() for d in days[start:start + 5]]
+                inputs = [[b[0], b[0]], [b[1], b[0]]]
+                share = np.isnan(np.array(inputs)).mean()
+                r = got.get((pr, pc, start + 1))
+                assert (r is not None) == (share <= 0.3)
+                if r:
+                    assert r.null_share == pytest.approx(share)
+                    assert np.array_equal(np.array(r.inputs), np.nan_to_num(np.array(inputs))) and np.array_equal(np.array(r.targets), np.nan_to_num(np.array(b[2:])))
+    assert {k[:2] for k in got} >= {(0, 3), (3, 0), (3, 3)} and len(got) < 24
