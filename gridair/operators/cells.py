@@ -201,15 +201,19 @@ def upsample_bilinear(coarse: DataFrame, factor: int, columns: list[str], keys:
 
     Each coarse cell first receives its 3 x 3 neighbourhood from two windows along grid lines; the fine cells
     are then unfolded from it with fixed weights, so the four corners need no joins.  A missing corner makes
-    the fine value missing.  ``coarse`` must hold every cell of its grid.
+    the fine value missing, and so does a cell that ``coarse`` lacks between two others of its line; a line ends at the
+    last cell it has.
     """
     here = F.struct(*[F.col(c).alias(c) for c in columns])
     w, v = _line(keys, "col"), _line(keys, "row")
     c = coarse.select(*keys, "row", "col", here.alias("_c"))
-    c = (c.withColumn("_l", F.coalesce(F.lag("_c").over(w), "_c")).withColumn("_r", F.coalesce(F.lead("_c").over(w), "_c"))
+
+    def beside(take, by: Window, at: str, what: str) -> Column:
+        """The neighbour's ``what``; its own at the end of the line, nothing where the neighbour is not the next cell."""
+        return F.when(take(at).over(by).isNull(), F.col(what)).when(F.abs(take(at).over(by) - F.col(at)) == 1, take(what).over(by))
+    c = (c.withColumn("_l", beside(F.lag, w, "col", "_c")).withColumn("_r", beside(F.lead, w, "col", "_c"))
          .withColumn("_line", F.struct("_l", "_c", "_r")).drop("_l", "_c", "_r"))
-    c = (c.withColumn("_u", F.coalesce(F.lag("_line").over(v), "_line"))
-         .withColumn("_d", F.coalesce(F.lead("_line").over(v), "_line")))
+    c = c.withColumn("_u", beside(F.lag, v, "row", "_line")).withColumn("_d", beside(F.lead, v, "row", "_line"))
     steps = []
     for k in range(factor):  # offset of the fine centre from the coarse centre, in coarse cells
         o = (k + 0.5) / factor - 0.5

@@ -88,3 +88,14 @@ def test_patch_samples_are_rejected_patch_by_patch(spark):
                     assert r.null_share == pytest.approx(share)
                     assert np.array_equal(np.array(r.inputs), np.nan_to_num(np.array(inputs))) and np.array_equal(np.array(r.targets), np.nan_to_num(np.array(b[2:])))
     assert {k[:2] for k in got} >= {(0, 3), (3, 0), (3, 3)} and len(got) < 24
+
+
+def test_refinement_does_not_reach_over_a_hole(spark):
+    from gridair.operators import cells as G
+    line = field(spark, np.array([[0.0, 10.0, 20.0, 30.0, 40.0, 50.0]] * 3))
+    whole = {(r.row, r.col): r.no2 for r in G.upsample_bilinear(line, 2, ["no2"]).collect()}
+    holed = {(r.row, r.col): r.no2 for r in G.upsample_bilinear(line.where("NOT (row = 1 AND col = 2)"), 2, ["no2"]).collect()}
+    assert whole[2, 3] == 12.5 and len(holed) == len(whole) - 4
+    # Fine cells that lean on the hole are missing; the others are as before.
+    lean = {(r, c) for r in (1, 2, 3, 4) for c in (3, 4, 5, 6)} - {(r, c) for r in (2, 3) for c in (4, 5)}
+    assert {k for k, v in holed.items() if v is None} == lean and all(holed[k] == whole[k] for k in holed if k not in lean)
