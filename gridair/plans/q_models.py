@@ -14,7 +14,7 @@ from gridair.plans.q_facts import rr
 from gridair.plans.registry import query
 
 GAP = M.GapFillSettings(trees=10, depth=8, passes=2)
-#: Boosted trees of the national run's check: 0.06 s a tree and fit with eight in flight; 400 would take hours here (README).
+#: Boosted trees of the national run's check: 0.06 s a tree and fit with eight in flight; 400 are reckoned at three quarters of an hour (README).
 NATIONAL_TREES = 3
 DOWN = M.DownscaleSettings(trees=10, depth=4, step=0.2, backprojections=5)
 
