@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,8 +95,3 @@ class Refreshed:
 def with_staleness(rows: DataFrame, now: Column, order: str = "fetched_at", stale_after: str = "20 minutes") -> DataFrame:
     """Rows flagged stale when they are older than ``stale_after``."""
     return rows.withColumn("stale", F.col(order) < now - F.expr(f"interval {stale_after}"))
-
-
-def merge_into(table: Refreshed) -> Callable[[DataFrame, int], None]:
-    """Writer of an update-mode stream: only the keys a batch has changed are written."""
-    return table.write
