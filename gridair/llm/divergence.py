@@ -2,7 +2,8 @@
 
 Every document has a histogram of character classes and one of its language's common words (all others in one bin).
 Both are compared with the same histograms of the language's whole corpus by Jensen-Shannon distance (base 2, square
-root).  A distance counts only where the document has enough characters or words for it to mean something.
+root).  A distance counts only where the document has enough characters or words for it to mean something.  The limit
+of the word distance is a language's own: a share of the distance that a text without any common word has.
 """
 
 from __future__ import annotations
@@ -14,11 +15,12 @@ from pyspark.sql import functions as F
 
 from gridair.llm.words import common_words, words
 
-#: A word is common if it makes at least this share of all words of the corpus.
-SHARE = 0.0005
-#: Largest distances that pass, and the least characters and words for either to be judged.
-CHAR_LIMIT, WORD_LIMIT = 0.28, 0.46
-CHAR_LEAST, WORD_LEAST = 200, 50
+#: Common words of a language, by rank; a language has a reference if it makes at least this share of all words of the corpus.
+TOP, SHARE = 32, 0.0005
+#: Largest distances that pass: of character classes, and of words as a share of the distance of a text without a common word.
+CHAR_LIMIT, WORD_LIMIT = 0.28, 0.95
+#: Least characters and words for either to be judged; least share of a language's words that its common ones make.
+CHAR_LEAST, WORD_LEAST, COVER = 200, 50, 0.1
 #: Documents of fewer words give nothing to the references and fail at once.
 LEAST = 50
 
@@ -81,12 +83,13 @@ def base(text: bytes | None) -> tuple:
     return (len(found), int(classes.sum() - classes[3]), int(bytes_seen[list(SYMBOLS.encode())].sum()), len(lines) - len(set(lines)), repeated_words(found)), classes, found
 
 
-def references(rows: DataFrame, share: float = SHARE) -> dict:
-    """{lang: (class counts, {word: bin}, word counts with the rest at the end)} over all ``rows`` (lang, text) of enough words.
+def references(rows: DataFrame, top: int = TOP, share: float = SHARE) -> dict:
+    """{lang: (class counts, {word: bin}, word counts with the rest at the end, distance of a text without a common word)} over all ``rows`` (lang, text) of enough words.
 
-    Only languages with a common word have a reference, so its size is bounded by 2 / share entries.
+    Only languages with ``share`` of all words have a reference, so its size is bounded by top / share entries.  The
+    last is None where common words make less than ``COVER`` of the language: there words tell nothing.
     """
-    found, totals = common_words(rows, share, LEAST)
+    found, totals = common_words(rows, top, share, LEAST)
 
     def classes(batches):
         sums: dict = {lang: np.zeros(256, np.int64) for lang in found}
@@ -102,7 +105,9 @@ def references(rows: DataFrame, share: float = SHARE) -> dict:
     for r in by_class:
         order = sorted(found[r.lang])
         counts = np.array([found[r.lang][w] for w in order], np.int64)
-        out[r.lang] = (np.array(r.n, np.int64), {w: i for i, w in enumerate(order)}, np.append(counts, totals[r.lang] - counts.sum()))
+        counts = np.append(counts, totals[r.lang] - counts.sum())
+        without = distance(np.arange(len(counts)) == len(order), counts) if counts[:-1].sum() >= COVER * counts.sum() else None
+        out[r.lang] = (np.array(r.n, np.int64), {w: i for i, w in enumerate(order)}, counts, without)
     return out
 
 
@@ -111,8 +116,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """One row for each row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance, word_distance, kept (and the columns named in ``carry``).
 
     A null or empty text has no words and fails.  Null ids stay null.  A null language is a language of its own; one
-    without a reference (too few words in the corpus for any to be common) is judged by the base rules alone, its
-    distances are null, as are those of texts under the least length.  An empty table gives an empty result.
+    without a reference (under ``SHARE`` of all words) is judged by the base rules alone, its distances are null, as are
+    those of texts under the least length; where common words make less than ``COVER`` of a language (as where words are
+    not parted by spaces) the word distance is null.  An empty table gives an empty result.
     """
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     refs = references(rows)
@@ -127,16 +133,16 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 facts, classes, found = base(text)
                 n, rep = facts[0], facts[4]
                 failed = n < LEAST or 100 * rep > 50 * n
-                char_d = word_d = None
+                char_d = word_d = without = None
                 if lang in refs and n:
-                    ref_classes, bins, ref_words = refs[lang]
+                    ref_classes, bins, ref_words, without = refs[lang]
                     if classes.sum() >= CHAR_LEAST:
                         char_d = distance(classes, ref_classes)
-                    if n >= WORD_LEAST:
+                    if n >= WORD_LEAST and without is not None:
                         rest = len(bins)
                         at = np.array([bins.get(w, rest) for w in found], np.int64)
                         word_d = distance(np.bincount(at, minlength=rest + 1), ref_words)
-                kept = not failed and (char_d or 0) <= limits[0] and (word_d or 0) <= limits[1]
+                kept = not failed and (char_d or 0) <= limits[0] and (word_d is None or word_d <= limits[1] * without)
                 out.append((*facts, failed, char_d, word_d, kept))
             cols = list(zip(*out)) or [()] * 9
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds[1:], strict=True)), *batch.columns[3:]], [*names, *carry])

@@ -42,10 +42,11 @@ base AS (SELECT doc_id, lang, len(ws) AS n_words, length(array_to_string(ws, '')
                  length(regexp_replace(text, '[a-zA-Z0-9\\x20\\x09-\\x0D.,;:''"!?()\\x80-\\x{{10FFFF}}-]', '', 'g')), length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g'))] AS cls
          FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN reps USING (doc_id)),
 long_words AS (SELECT lang, word, count(*) AS c FROM w WHERE n >= 50 GROUP BY 1, 2),
-common AS (SELECT lang, word, c FROM long_words WHERE c >= 0.0005 * (SELECT sum(c) FROM long_words)),
-totals AS (SELECT lang, sum(c) AS c FROM long_words WHERE lang IN (SELECT lang FROM common) GROUP BY 1),
+totals AS (SELECT lang, sum(c) AS c FROM long_words GROUP BY 1 HAVING sum(c) >= 0.0005 * (SELECT sum(c) FROM long_words)),
+common AS (SELECT lang, word, c FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY c DESC, word) AS place FROM long_words WHERE lang IN (SELECT lang FROM totals)) WHERE place <= 32),
 ref AS (SELECT lang, word, CAST(common.c AS DOUBLE) / totals.c AS q FROM common JOIN totals USING (lang)
         UNION ALL SELECT lang, NULL, 1 - sum(CAST(common.c AS DOUBLE)) / any_value(totals.c) FROM common JOIN totals USING (lang) GROUP BY 1),
+without AS (SELECT lang, sqrt((log2(2 / (1 + q)) + CASE WHEN q > 0 THEN q * log2(2 * q / (1 + q)) ELSE 0 END + 1 - q) / 2) AS far FROM ref WHERE word IS NULL AND 1 - q >= 0.1),
 own AS (SELECT doc_id, w.lang, common.word, CAST(count(*) AS DOUBLE) / any_value(n) AS p FROM w LEFT JOIN common ON w.lang = common.lang AND w.word = common.word GROUP BY 1, 2, 3),
 word_d AS (SELECT doc_id, sqrt(greatest(0, (sum(p * log2(2 * p / (p + q)) + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) + 1 - sum(q)) / 2)) AS d
            FROM own JOIN ref ON own.lang = ref.lang AND own.word IS NOT DISTINCT FROM ref.word GROUP BY 1),
@@ -55,8 +56,8 @@ char_d AS (SELECT doc_id, sqrt(greatest(0, sum(CASE WHEN c > 0 THEN c / chars *
            FROM cls JOIN cls_ref USING (lang, k) WHERE chars >= 200 GROUP BY 1),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND coalesce(char_d.d, 0) <= 0.28 AND coalesce(word_d.d, 0) <= 0.46 AS kept
-FROM b LEFT JOIN char_d USING (doc_id) LEFT JOIN word_d USING (doc_id)"""
+       NOT base_failed AND coalesce(char_d.d, 0) <= 0.28 AND (far IS NULL OR coalesce(word_d.d, 0) <= 0.95 * far) AS kept
+FROM b LEFT JOIN char_d USING (doc_id) LEFT JOIN word_d USING (doc_id) LEFT JOIN without USING (lang)"""
 
 
 def _share_out(nodes: str, out: str, keys: list[str]) -> str:

@@ -1,11 +1,11 @@
-"""Words that make up at least a given share of a corpus, counted exactly in two passes with bounded tables."""
+"""Words of texts, and the most frequent ones of each language, counted exactly."""
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridair.llm.common import written
@@ -19,26 +19,22 @@ def words(text: bytes | None) -> list[bytes]:
     return (text or b"").split()
 
 
-def common_words(rows: DataFrame, share: float, least: int = 1) -> tuple[dict[str | None, dict[bytes, int]], dict[str | None, int]]:
-    """Counts of every (lang, word) with at least ``share`` of all words of ``rows`` (lang, text), and the words of each such lang.
+def common_words(rows: DataFrame, top: int, share: float, least: int = 1) -> tuple[dict[str | None, dict[bytes, int]], dict[str | None, int]]:
+    """Counts of the ``top`` most frequent words of each lang of ``rows`` (lang, text), of equal counts the smaller bytes, and of all words of the lang.
 
-    Texts of fewer than ``least`` words don't count.  First every task reports what reaches half the share among its
-    own words: nothing common is missed.  Reported words that can still reach the share overall have at least half of
-    it (so there are 2 / share at most, whatever the corpus); a second pass counts those exactly.
+    Texts of fewer than ``least`` words don't count.  Only langs with at least ``share`` of all words are given, so
+    there are top / share words at most, whatever the corpus.  Tasks add up what they see before anything is shuffled;
+    each partition keeps its own first ``top`` of a lang before they are ranked together.
     """
-    half = share / 2
-
-    def report(batches):
+    def count(batches):
         held, totals = defaultdict(Counter), Counter()
 
         def flush():
-            n = sum(totals.values())
-            out = [(lang, w, c, n) for lang, counts in held.items() for w, c in counts.items() if c >= half * n]
-            out.append((None, None, n, n))
+            out = [(lang, w, c) for lang, counts in held.items() for w, c in counts.items()] + [(lang, None, c) for lang, c in totals.items()]
             held.clear()
             totals.clear()
-            cols = list(zip(*out, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], ["lang", "word", "n", "among"])
+            cols = list(zip(*out, strict=True)) or [()] * 3
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64())], ["lang", "word", "n"])
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
                 found = words(text)
@@ -47,35 +43,17 @@ def common_words(rows: DataFrame, share: float, least: int = 1) -> tuple[dict[st
                     totals[lang] += len(found)
             if sum(map(len, held.values())) > HELD:
                 yield flush()
-        if totals:
-            yield flush()
-
-    told = rows.select("lang", "text").mapInArrow(report, "lang string, word binary, n long, among long")
-    summed = written(told.groupBy("lang", "word").agg(F.sum("n").alias("n"), F.sum("among").alias("among")), "reported-words")
-    every = summed.where("word is null").agg(F.sum("n")).first()[0] or 0
-    likely = summed.where("word is not null").where(F.col("n") + half * (every - F.col("among")) >= share * every)
-    wanted: dict = defaultdict(set)
-    for r in likely.select("lang", "word").collect():  # 2 / share at most
-        wanted[r.lang].add(bytes(r.word))
-
-    def count(batches):
-        held, totals = defaultdict(Counter), Counter()
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
-                found = words(text)
-                if len(found) >= max(1, least):
-                    if lang in wanted:
-                        held[lang].update(filter(wanted[lang].__contains__, found))
-                        totals[lang] += len(found)
-        out = [(lang, w, c) for lang, counts in held.items() for w, c in counts.items()] + [(lang, None, c) for lang, c in totals.items()]
-        cols = list(zip(*out, strict=True)) or [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64())], ["lang", "word", "n"])
-
-    exact = rows.select("lang", "text").mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).collect()  # as many
-    totals = {r.lang: r.n for r in exact if r.word is None}
+        yield flush()
+
+    told = rows.select("lang", "text").mapInArrow(count, "lang string, word binary, n long")
+    summed = written(told.groupBy("lang", "word").agg(F.sum("n").alias("n")), "word-counts")
+    totals = summed.where("word is null")
+    every = totals.agg(F.sum("n")).first()[0] or 0
+    totals = {r.lang: r.n for r in totals.where(F.col("n") >= share * every).collect()}  # 1 / share at most
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    first = summed.where("word is not null").withColumn("place", place).where(F.col("place") <= top)
+    large = summed.where(F.col("word").isNull() & (F.col("n") >= share * every)).select(F.col("lang").alias("named"))
     found: dict = defaultdict(dict)
-    for r in exact:
-        if r.word is not None and r.n >= share * every:
-            found[r.lang][bytes(r.word)] = r.n
-    return dict(found), {lang: totals[lang] for lang in found}
-
+    for r in first.join(large, F.col("lang").eqNullSafe(F.col("named")), "left_semi").collect():  # top / share at most
+        found[r.lang][bytes(r.word)] = r.n
+    return dict(found), totals

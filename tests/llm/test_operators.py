@@ -91,16 +91,40 @@ def test_divergence(spark, odd, empty):
     assert {r.doc_id for r in divergence.judge(clean).where("not kept").collect()} == {98, 99}
 
 
-def test_common_words_exact(spark):
-    rows = [(["en", "de", None][i % 3], prose(rnd.randint(0, 90)) + (" rare%d" % i)) for i in range(200)]
-    found, totals = common_words(spark.createDataFrame(rows, "lang string, text string").repartition(7), 0.003)
-    plain, total = defaultdict(int), 0
+def test_words_tell_languages(spark):
+    """Foreign text, made-up words and a small language; clean texts stay."""
+    stock = {lang: [f"{lang}{i}" for i in range(2000)] for lang in ("aa", "bb", "cc")}
+    weights = [1 / (k + 1) for k in range(2000)]
+    text = lambda lang, n=150: " ".join(rnd.choices(stock[lang], weights, k=n))
+    docs = [(i, text("aa"), "aa") for i in range(700)] + [(1000 + i, text("bb"), "bb") for i in range(290)] + [(2000 + i, text("cc"), "cc") for i in range(5)]
+    docs += [(3000 + i, text("bb"), "aa") for i in range(10)] + [(4000 + i, text("aa"), "cc") for i in range(1)]
+    docs += [(5000 + i, " ".join("".join(rnd.choices("abcdefgh", k=6)) for _ in range(150)), "aa") for i in range(10)]
+    docs += [(6000 + i, text("aa", 30) + " " + " ".join(f"x{rnd.random()}" for _ in range(30)), None) for i in range(3)]
+    got = {r.doc_id: r for r in divergence.judge(spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(5), limits=(1.0, divergence.WORD_LIMIT)).collect()}
+    assert len(got) == len(docs)
+    assert all(got[i].kept for i in got if i < 3000) and not any(got[i].kept for i in got if 3000 <= i < 6000)
+
+
+def test_words_that_cover_too_little_are_not_judged(spark):
+    docs = [(i, " ".join(f"w{rnd.random()}" for _ in range(80)), "zz") for i in range(60)]
+    got = divergence.judge(spark.createDataFrame(docs, "doc_id long, text string, lang string"), limits=(1.0, divergence.WORD_LIMIT)).collect()
+    assert all(r.kept and r.word_distance is None for r in got)
+
+
+def test_common_words_exact(spark, monkeypatch):
+    from gridair.llm import words as module
+    monkeypatch.setattr(module, "HELD", 40)  # several reports a task
+    rows = [(["en", "de", None, "en", "de", None, "xx"][i % 7], prose(rnd.randint(0, 90)) + (" rare%d" % i)) for i in range(200)] + [("xx", "a")]
+    found, totals = common_words(spark.createDataFrame(rows, "lang string, text string").repartition(7), 9, 0.2, 20)
+    plain = defaultdict(lambda: defaultdict(int))
     for lang, text in rows:
-        for w in text.encode().split():
-            plain[lang, w] += 1
-            total += 1
-    want = {k: n for k, n in plain.items() if n >= 0.003 * total}
-    assert {(lang, w): n for lang, ws in found.items() for w, n in ws.items()} == want
+        own = text.encode().split()
+        for w in own if len(own) >= 20 else ():
+            plain[lang][w] += 1
+    total = {lang: sum(ws.values()) for lang, ws in plain.items()}
+    large = {lang for lang in total if total[lang] >= 0.2 * sum(total.values())}
+    assert totals == {lang: total[lang] for lang in large} and "xx" not in large
+    assert found == {lang: dict(sorted(plain[lang].items(), key=lambda x: (-x[1], x[0]))[:9]) for lang in large}
 
 
 def test_compact_windows(spark, odd, empty):
