@@ -2,175 +2,47 @@
 
 Every word of trusted text is in the model, whose tables of all orders are dealt to shards (``ngrams``).  A document
 passes if its perplexity is no higher than a quantile of its language's trusted documents that were held out of the
-counts.  ``Vocabulary``, ``encoded``, ``trigram_counts``, ``train`` and ``Model`` are the same model over a short list
-of words, held by one process; the classifier doesn't use them.
+counts.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import defaultdict
-
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridair.llm import ngrams
-from gridair.llm.common import written
-from gridair.llm.ngrams import discounts
-from gridair.llm.words import words
 
-#: Charge of the unknown word of a short list.
-SHARE = 0.001
 #: Quantile of the trusted documents' perplexity that still passes; least words to be judged.
 QUANTILE, LEAST = 0.99, 20
 #: One in so many trusted documents is held out of the counts; the quantiles are theirs.
 HELD_OUT = 5
 #: Short texts scatter more: each language has a quantile for each of the lengths parted by these numbers of words.
 BANDS = (64, 256)
-#: Bytes of text in a block; tokens a shard is meant for; bits of an id; bins of log perplexity for each unit.
-BLOCK, SHARD, BITS, BINS = 48 << 20, 4_000_000, 14, 1000
-MASK = (1 << BITS) - 1
-
-
-class Vocabulary:
-    """Ids of words by language: its start, its unknown word, then its common words in order."""
-
-    def __init__(self, found: dict):
-        self.ids, self.start, self.lang_of = {}, {}, []
-        for lang in sorted(found, key=lambda x: (x is not None, x)):
-            self.start[lang] = len(self.lang_of)
-            self.ids[lang] = {w: len(self.lang_of) + 2 + i for i, w in enumerate(sorted(found[lang]))}
-            self.lang_of += [lang] * (2 + len(found[lang]))
-        if len(self.lang_of) > MASK:
-            raise ValueError("share is too small for the ids' width")
-
-    def encode(self, lang: str | None, found: list[bytes]) -> np.ndarray:
-        get, unknown = self.ids[lang].get, self.start[lang] + 1
-        return np.array([get(w, unknown) for w in found], np.uint16)
-
-    def trigrams(self, lang: str | None, ids: np.ndarray) -> np.ndarray:
-        """Codes of a text's trigrams, the first two with start signs."""
-        x = np.concatenate(([self.start[lang]] * 2, ids)).astype(np.int64)
-        return (x[:-2] << 2 * BITS) | (x[1:-1] << BITS) | x[2:]
-
-
-def encoded(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(block, doc_id, lang, n_words, ids) as a written table; ids is null for languages without vocabulary."""
-    def run(batches):
-        block, held = TaskContext.get().partitionId() << 20, 0
-        for batch in batches:
-            out = []
-            for d, lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.large_binary()).to_pylist(), strict=True):
-                found = words(text)
-                known = lang in vocabulary.ids
-                out.append((block, d, lang, len(found), zlib.compress(vocabulary.encode(lang, found).tobytes(), 1) if known else None))
-                held += len(text or b"")
-                if held > BLOCK:
-                    block, held = block + 1, 0
-            cols = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()), strict=True)], ["block", "doc_id", "lang", "n_words", "ids"])
-    return written(rows.mapInArrow(run, "block long, doc_id long, lang string, n_words long, ids binary"), "encoded")
-
-
-def _ids(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), np.uint16)
+#: A length with fewer held-out texts is judged by the quantile of all lengths of its language.
+FEW = 20
+#: Bins of log perplexity for each unit.
+BINS = 1000
 
 
-def trigram_counts(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(code, n) over all encoded ``texts``, a written table."""
-    def run(batches):
-        codes, counts, size = [], [], 0
+def limits(judged: DataFrame, quantile: float) -> DataFrame:
+    """(lang, band, limit): the upper ends of the bins that hold the quantiles of ``judged`` (lang, band, log_perplexity); band -1 is all lengths.
 
-        def merged():
-            code, at = np.unique(np.concatenate(codes), return_inverse=True)
-            return code, np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
-        for batch in batches:
-            for lang, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = vocabulary.trigrams(lang, _ids(data))
-                codes.append(own)
-                counts.append(np.ones(len(own), np.int64))
-                size += len(own)
-                if size > SHARD:
-                    code, n = merged()
-                    codes, counts, size = [code], [n], 0
-                    if len(code) > SHARD // 2:
-                        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "n"])
-                        codes, counts = [], []
-        if codes:
-            code, n = merged()
-            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "n"])
-    return written(texts.where("ids is not null").select("lang", "ids").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "trigram-counts")
-
-
-class Model:
-    """Lower orders as sorted arrays, and the discounts of trigrams; the trigram counts stay in their shards."""
-
-    def __init__(self, vocabulary: Vocabulary, after: pd.DataFrame, before: pd.DataFrame, of_counts: pd.DataFrame):
-        langs = {lang: k for k, lang in enumerate(vocabulary.start)}
-        lang_of = np.array([langs[x] for x in vocabulary.lang_of], np.int64)
-        starts = np.array(sorted(vocabulary.start.values()), np.int64)
-        self.lang_of, self.unknown = lang_of, starts + 1
-        table = lambda ids, n: np.array([discounts(dict(zip(*np.unique(np.minimum(n[lang_of[ids] == k], 5), return_counts=True)))) for k in range(len(langs))]).reshape(-1, 4)
-        by_lang = [defaultdict(int) for _ in langs]
-        for w, n, times in zip(of_counts["w"], of_counts["n"], of_counts["times"]):
-            by_lang[lang_of[w]][int(n)] += int(times)
-        self.d3 = np.array([discounts(x) for x in by_lang]).reshape(-1, 4)
-        # Contexts of trigrams: (u, v), tokens after it, and how often 1, 2 and more.
-        after = after.sort_values("uv")
-        self.uv, self.c3 = after["uv"].to_numpy(np.int64), after["c"].to_numpy(np.float64)
-        k = lang_of[self.uv & MASK]
-        self.g3 = (self.d3[k, 1] * after["n1"] + self.d3[k, 2] * after["n2"] + self.d3[k, 3] * after["n3"]).to_numpy() / self.c3
-        # Pairs by the number of different words before them (by tokens where that is the start).
-        before = before.sort_values("vw")
-        self.vw, n2 = before["vw"].to_numpy(np.int64), before["n"].to_numpy(np.int64)
-        v, w = self.vw >> BITS, self.vw & MASK
-        size = len(lang_of)
-        d2 = table(w, n2)
-        off = d2[lang_of[w], np.minimum(n2, 3)]
-        total = np.bincount(v, weights=n2, minlength=size)
-        self.g2 = np.where(total > 0, np.bincount(v, weights=off, minlength=size) / np.maximum(total, 1), 1.0)
-        n1 = np.bincount(w, minlength=size)
-        d1 = table(np.arange(size), n1)
-        off1 = d1[lang_of, np.minimum(n1, 3)]
-        every = np.bincount(lang_of, weights=n1, minlength=len(langs))
-        rest = np.where(every > 0, np.bincount(lang_of, weights=off1, minlength=len(langs)) / np.maximum(every, 1), 1.0)
-        many = np.bincount(lang_of, minlength=len(langs)) - 1  # the start is never a next word
-        self.p1 = np.maximum(n1 - off1, 0) / np.maximum(every, 1)[lang_of] + (rest / many)[lang_of]
-        self.p2 = np.maximum(n2 - off, 0) / total[v] + self.g2[v] * self.p1[w]
-
-    def log_probability(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Log-probabilities of trigrams with their counts in trusted text (0: never seen)."""
-        uv, vw, w = codes >> BITS, codes & ((1 << 2 * BITS) - 1), codes & MASK
-        at = np.minimum(np.searchsorted(self.vw, vw), max(0, len(self.vw) - 1))
-        seen = self.vw[at] == vw if len(self.vw) else np.zeros(len(codes), bool)
-        low = np.where(seen, self.p2[at] if len(self.vw) else 0, self.g2[vw >> BITS] * self.p1[w])
-        at = np.minimum(np.searchsorted(self.uv, uv), max(0, len(self.uv) - 1))
-        known = self.uv[at] == uv if len(self.uv) else np.zeros(len(codes), bool)
-        off = self.d3[self.lang_of[w], np.minimum(counts, 3)]
-        p = low if not len(self.uv) else np.where(known, np.maximum(counts - off, 0) / self.c3[at] + self.g3[at] * low, low)
-        return np.log(p) + np.where(w == self.unknown[self.lang_of[w]], np.log(SHARE), 0)
-
-
-def train(counts: DataFrame, vocabulary: Vocabulary) -> Model:
-    """The lower orders, from tables of vocabulary pairs at most."""
-    part = counts.select(F.shiftright("code", BITS).alias("uv"), F.col("code").bitwiseAND(F.lit((1 << 2 * BITS) - 1)).alias("vw"), F.col("code").bitwiseAND(F.lit(MASK)).alias("w"), "n")
-    times = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
-    after = part.groupBy("uv").agg(F.sum("n").alias("c"), times(F.col("n") == 1).alias("n1"), times(F.col("n") == 2).alias("n2"), times(F.col("n") > 2).alias("n3"))
-    is_start = F.shiftright("vw", BITS).isin(*vocabulary.start.values()) if vocabulary.start else F.lit(False)
-    before = part.groupBy("vw").agg(F.when(is_start, F.sum("n")).otherwise(F.count(F.lit(1))).alias("n"))
-    of_counts = part.groupBy("w", F.least("n", F.lit(5)).alias("n")).agg(F.count(F.lit(1)).alias("times"))
-    return Model(vocabulary, after.toPandas(), before.toPandas(), of_counts.toPandas())
+    Counts in narrow bins: as many rows as bins, and the same however the rows are dealt out.
+    """
+    bins = judged.groupBy("lang", "band", F.ceil(F.col("log_perplexity") * BINS).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    both = bins.unionByName(bins.groupBy("lang", "bin").agg(F.sum("n").alias("n")).withColumn("band", F.lit(-1)))
+    own = Window.partitionBy("lang", "band")
+    ranked = both.select("lang", "band", "bin", F.sum("n").over(own.orderBy("bin")).alias("past"), F.sum("n").over(own).alias("every"))
+    enough = (F.col("band") < 0) | (F.col("every") >= FEW)
+    return ranked.where(enough & (F.col("past") >= quantile * F.col("every"))).groupBy("lang", "band").agg((F.min("bin") / BINS).alias("limit"))
 
 
 def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
     """(doc_id, lang, n_words, perplexity, kept) for every row of ``docs``; ``trusted`` (doc_id) names the text to learn from.
 
-    Documents of fewer than ``LEAST`` words and those of a language without trusted text are kept unjudged; a text
-    without words or without trusted text of its language has a null perplexity.  Null ids stay null; a null language is
+    Documents of fewer than ``LEAST`` words and those of a language without trusted text or without a held-out one of
+    ``LEAST`` words are kept unjudged; a length with fewer than ``FEW`` held-out texts takes the limit of all lengths of
+    its language; a text without words or without trusted text of its language has a null perplexity.  Null ids stay null; a null language is
     a language of its own; repeated rows count and come out as often as they are.  An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
@@ -181,21 +53,12 @@ def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_c
     shards = max(1, -(-tokens // ngrams.SHARD))
     counts = ngrams.trigram_counts(blocks, good.where(~held_out), shards)
     table = ngrams.scored(blocks, ngrams.Model(counts), shards)
-    judged = table.where(F.col("log_perplexity").isNotNull() & (F.col("n_words") >= LEAST)).join(good.where(held_out), "doc_id", "left_semi")
-    # Quantiles from counts in narrow bins: as many rows as bins, and the same however the rows are dealt out.
     band = sum((F.when(F.col("n_words") >= n, 1).otherwise(0) for n in BANDS), F.lit(0))
-    bins = judged.groupBy("lang", band.alias("band"), F.ceil(F.col("log_perplexity") * BINS).alias("bin")).count().collect()
-    limits = {}
-    for lang, k in {(r.lang, r.band) for r in bins}:
-        own = sorted((r.bin, r["count"]) for r in bins if (r.lang, r.band) == (lang, k))
-        need, past = quantile * sum(n for _, n in own), 0
-        for b, n in own:
-            past += n
-            if past >= need:
-                limits[lang, k] = b / BINS
-                break
-    limit = F.lit(None).cast("double")
-    for (lang, k), value in limits.items():
-        limit = F.when(F.col("lang").eqNullSafe(F.lit(lang)) & (band == k), value).otherwise(limit)
-    kept = F.coalesce(F.col("log_perplexity") <= limit, F.lit(True)) | (F.col("n_words") < LEAST)
+    table = table.withColumn("band", band)
+    judged = table.where(F.col("log_perplexity").isNotNull() & (F.col("n_words") >= LEAST)).join(good.where(held_out), "doc_id", "left_semi")
+    found = limits(judged, quantile)
+    by_band = found.where("band >= 0").select(F.col("lang").alias("own_lang"), F.col("band").alias("own_band"), F.col("limit").alias("own"))
+    by_lang = found.where("band < 0").select(F.col("lang").alias("any_lang"), F.col("limit").alias("any"))
+    table = table.join(by_band, F.col("lang").eqNullSafe(F.col("own_lang")) & (F.col("band") == F.col("own_band")), "left").join(by_lang, F.col("lang").eqNullSafe(F.col("any_lang")), "left")
+    kept = F.coalesce(F.col("log_perplexity") <= F.coalesce("own", "any"), F.lit(True)) | (F.col("n_words") < LEAST)
     return table.select("doc_id", "lang", "n_words", F.exp("log_perplexity").alias("perplexity"), kept.alias("kept"))

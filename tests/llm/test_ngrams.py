@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from gridair.llm import kneser_ney, ngrams
@@ -72,3 +73,38 @@ def test_rare_words_in_wrong_order_fail(spark):
     got = kneser_ney.classify(spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame([(i,) for i in range(400)], "doc_id long")).collect()
     assert all(not r.kept for r in got if r.doc_id >= 1000)
     assert sum(not r.kept for r in got if r.doc_id < 1000) <= 12
+
+
+def test_probabilities_after_any_context_sum_to_one(spark):
+    names = [f"w{i}" for i in range(30)]
+    docs = spark.createDataFrame([(i, lang, " ".join(rnd.choices(names, weights=range(30, 0, -1), k=rnd.randint(5, 60)))) for i in range(40) for lang in ("en", None)], "doc_id long, lang string, text string")
+    model = ngrams.Model(ngrams.trigram_counts(ngrams.encoded(docs), spark.range(40).select(F.col("id").alias("doc_id")), 3))
+    of = defaultdict(dict)
+    for r in model.tables.collect():
+        key = {"trigram": (r.u, r.v, r.w), "pair_before": (r.v, r.w), "pair": (r.v, r.w)}.get(r.name, r.w)
+        of[r.name][key] = (r.x, r.y)
+    for lang in ("en", None):
+        tag = ngrams.tag_of(lang)
+        start, ids = ngrams.word_id(tag, None), [ngrams.word_id(tag, w.encode()) for w in names]
+        every = [*[x for x in ids if x in of["word"]], -1]  # -1: all that trusted text lacks
+        for u, v in ((start, start), (start, ids[2]), (ids[2], ids[4]), (ids[0], ids[0]), (ids[1], -5), (-5, ids[1])):
+            some = lambda name, keys: np.array([of[name].get(k, (0, 0.0)) for k in keys])
+            n = lambda name, keys: some(name, keys)[:, 0].astype(np.int64)
+            before, word_before = some("pair_before", [(u, v)] * len(every)), some("word_before", [v] * len(every))
+            logs = model.combine(np.array([tag] * len(every)), n("trigram", [(u, v, w) for w in every]), tuple(before.T), n("pair", [(v, w) for w in every]), tuple(word_before.T), n("word", every))
+            assert math.isclose(np.exp(logs).sum(), 1, rel_tol=1e-9)
+
+
+def test_limits_beside_sorted_values(spark):
+    rows = [(lang, rnd.randint(0, 2) if lang != "few" else 0, rnd.random() * 9) for lang in ["en"] * 300 + [None] * 50 + ["few"] * 4]
+    rows += [("en", 3, 5.0)] * 3  # a length with few texts has no limit of its own
+    got = {(r.lang, r.band): r.limit for r in kneser_ney.limits(spark.createDataFrame(rows, "lang string, band int, log_perplexity double").repartition(4), 0.9).collect()}
+    groups = defaultdict(list)
+    for lang, band, x in rows:
+        groups[lang, band].append(x)
+        groups[lang, -1].append(x)
+    want = {}
+    for (lang, band), own in groups.items():
+        if band < 0 or len(own) >= kneser_ney.FEW:
+            want[lang, band] = math.ceil(sorted(own)[math.ceil(0.9 * len(own)) - 1] * kneser_ney.BINS) / kneser_ney.BINS
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
