@@ -1,6 +1,5 @@
 """Small cases of every operator beside a plain computation of the same result."""
 
-import math
 import random
 import zlib
 from collections import defaultdict
