@@ -49,6 +49,7 @@ COMBUSTION_FUELS = ("Coal", "Gas", "Oil", "Biomass", "Waste", "Petcoke", "Cogene
 MASKED_SCENE_CLASSES = (3, 8, 9, 10, 11)
 SPIKE_BASELINE_DAYS = 7
 UPWIND_KM = 5.0
+UPWIND_WATER_SHARE = 0.3
 
 # City aliases.
 CITY_ALIASES = {
