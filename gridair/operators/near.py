@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridair import constants as C
@@ -68,7 +68,8 @@ def radius_mean(obs: DataFrame, sites: DataFrame, km: float, value: str, name: s
 
     ``sites(station_id, lat, lon)`` has one row per station.  Buckets are ``1 / splits`` of the radius.  A pair
     of buckets whose farthest corners are inside the radius contributes bucket-day totals; pairs that straddle
-    the radius are settled site by site.  Readings at the very same coordinates are subtracted.
+    the radius are settled site by site.  Of a site's own bucket the other places are added up from both ends, so
+    that nothing is subtracted; readings at the very same coordinates don't count.
     """
     dy = km / C.STATION_KM_LAT / splits
     around_globe = max(1, math.floor(360.0 / dy))
@@ -97,7 +98,7 @@ def radius_mean(obs: DataFrame, sites: DataFrame, km: float, value: str, name: s
                  + F.pow((gap_x + 1) * dx * C.STATION_KM_LON * F.cos(F.radians(lat_lo)), F.lit(2)))
     close = F.sqrt(F.pow(F.greatest(gap_y - 1, F.lit(0)) * dy * C.STATION_KM_LAT, F.lit(2))
                    + F.pow(F.greatest(gap_x - 1, F.lit(0)) * dx * C.STATION_KM_LON * F.cos(F.radians(F.least(lat_hi, F.lit(90.0)))), F.lit(2)))
-    pairs = (around.withColumn("_inside", far < km * (1 - 1e-9)).where(F.col("_inside") | (close < km * (1 + 1e-9))))
+    pairs = (around.where((gap_y > 0) | (gap_x > 0)).withColumn("_inside", far < km * (1 - 1e-9)).where(F.col("_inside") | (close < km * (1 + 1e-9))))
 
     # The station's own coordinates come from ``sites`` so that one station cannot sit in two buckets.
     rows = (obs.where(F.col(value).isNotNull() & ~F.isnan(value)).select("station_id", "day", value)  # one NaN would reach all around
@@ -119,13 +120,17 @@ def radius_mean(obs: DataFrame, sites: DataFrame, km: float, value: str, name: s
               .join(per_place.select(F.col("lat").alias("_olat"), F.col("lon").alias("_olon"), "day", "_s", "_c"),
                     ["_olat", "_olon"])
               .groupBy("lat", "lon", "day").agg(F.sum("_s").alias("_es"), F.sum("_c").alias("_ec")))
-    # A bucket is inside itself (its diagonal is far below the radius), hence holds its own places: subtract.
-    own = per_place.select("lat", "lon", "day", F.col("_s").alias("_os"), F.col("_c").alias("_oc"))
+    # A bucket is inside itself (its diagonal is far below the radius): its other places are those before and after the own one.
     days = obs.select("station_id", "day").distinct().join(src, "station_id")
-    zero = F.lit(0)
-    total = F.coalesce("_is", F.lit(0.0)) + F.coalesce("_es", F.lit(0.0)) - F.coalesce("_os", F.lit(0.0))
-    count = F.coalesce("_ic", zero) + F.coalesce("_ec", zero) - F.coalesce("_oc", zero)
+    in_bucket = days.select("lat", "lon", "_y", "_x", "day").distinct().join(per_place, ["lat", "lon", "_y", "_x", "day"], "left")
+    zero, none = F.lit(0), F.lit(0.0)
+    own = Window.partitionBy("_y", "_x", "day").rowsBetween(Window.unboundedPreceding, -1)
+    ends = own.orderBy("lat", "lon"), own.orderBy(F.desc("lat"), F.desc("lon"))
+    beside = lambda c, of: sum((F.coalesce(F.sum(c).over(w), of) for w in ends), of)
+    own_bucket = in_bucket.select("lat", "lon", "day", beside("_s", none).alias("_bs"), beside("_c", zero).alias("_bc"))
+    total = F.coalesce("_is", none) + F.coalesce("_es", none) + F.coalesce("_bs", none)
+    count = F.coalesce("_ic", zero) + F.coalesce("_ec", zero) + F.coalesce("_bc", zero)
     return (days.join(inside, ["_y", "_x", "day"], "left").join(border, ["lat", "lon", "day"], "left")
-            .join(own, ["lat", "lon", "day"], "left")
+            .join(own_bucket, ["lat", "lon", "day"], "left")
             .select("station_id", "day", F.when(count > 0, total / F.nullif(count, zero)).alias(name),
                     count.alias("neighbours")))
