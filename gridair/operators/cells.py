@@ -323,11 +323,13 @@ def wind_per_day(cells: DataFrame) -> DataFrame:
 
 
 def upwind_value(cells: DataFrame, wind: DataFrame, grids: DataFrame, km: float = C.UPWIND_KM, value: str = "no2",
-                 name: str = "upwind") -> DataFrame:
+                 name: str = "upwind", also: dict[str, str] | None = None) -> DataFrame:
     """The field's value ``km`` against the day's wind (bilinear, edges held); null when the wind is below 1 m/s.
 
-    Source positions are shifted by a constant per day, so that every cell looks up its four corners by key.
+    Source positions are shifted by a constant per day, so that every cell looks up its four corners by key.  ``also``
+    names further columns to take from there with the same look-up (column to new name).
     """
+    wanted = {value: name, **(also or {})}
     speed = F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v"))
     g = grids.join(pixel_size(grids), "area_id")
     shift = (wind.join(g, "area_id").withColumn("_speed", speed).where(F.col("_speed") > 1.0)
@@ -348,11 +350,10 @@ def upwind_value(cells: DataFrame, wind: DataFrame, grids: DataFrame, km: float
         corner(y1, F.col("_x0"), F.col("_fy") * (one - F.col("_fx"))), corner(y1, x1, F.col("_fy") * F.col("_fx")))
     looked = (at.select(*CELL_KEY, F.explode(corners).alias("_k"))
               .select(*CELL_KEY, F.col("_k.y").alias("_sr"), F.col("_k.x").alias("_sc"), F.col("_k.w").alias("_w"))
-              .join(cells.select(*DAY_KEY, F.col("row").alias("_sr"), F.col("col").alias("_sc"), F.col(value).alias("_v")),
+              .join(cells.select(*DAY_KEY, F.col("row").alias("_sr"), F.col("col").alias("_sc"), *[F.col(c).alias(f"_v_{c}") for c in wanted]),
                     [*DAY_KEY, "_sr", "_sc"])
-              .groupBy(*CELL_KEY).agg(F.sum(F.col("_w") * F.col("_v")).alias("_s"), F.count("_v").alias("_n")))
-    up = looked.select(*CELL_KEY, F.when(F.col("_n") == 4, F.col("_s")).alias(name))
-    return cells.join(up, list(CELL_KEY), "left")
+              .groupBy(*CELL_KEY).agg(*[F.when(F.count(f"_v_{c}") == 4, F.sum(F.col("_w") * F.col(f"_v_{c}"))).alias(n) for c, n in wanted.items()]))
+    return cells.join(looked, list(CELL_KEY), "left")
 
 
 def blend_days(cells: DataFrame, fraction: Column, value: str = "no2") -> DataFrame:

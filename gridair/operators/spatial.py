@@ -399,7 +399,7 @@ def road_density(lines: DataFrame, grids: DataFrame, sigma: float = 2.0) -> Data
 def anomalies(cells: DataFrame, grids: DataFrame, static: DataFrame, places: DataFrame | None = None, top: int = 5,
               value: str = "no2") -> DataFrame:
     """Connected places per area and day above the daily limit (exceedance) or far above their own last week
-    (spike), whether the excess is local (far above the upwind air), likely reasons, severity, and the ``top``
+    (spike), whether the excess is local (far above the upwind air, which must not come off open water), likely reasons, severity, and the ``top``
     by severity and excess.  ``cells`` is dense with u10, v10 and blh."""
     mean = G.day_mean(cells, value)
     full = cells.join(mean, list(DAY_KEY)).where(F.col("day_mean").isNotNull()).withColumn("_v", F.coalesce(value, "day_mean"))
@@ -416,16 +416,18 @@ def anomalies(cells: DataFrame, grids: DataFrame, static: DataFrame, places: Dat
     base = gaussian_smooth(base, 1.0, {"_b": "baseline"}).select(*CELL_KEY, "baseline")
 
     wind = G.wind_per_day(cells)
-    field = G.upwind_value(field, wind, grids, value="smooth")
     water = F.coalesce(F.col("ndvi") < 0.0, F.lit(False)) if "ndvi" in static.columns else F.lit(False)
-    land = static.select("area_id", "row", "col", (~water).alias("_land"))
-    f = (field.join(q, list(DAY_KEY)).join(base, list(CELL_KEY), "left").join(land, ["area_id", "row", "col"], "left")
+    field = (field.join(static.select("area_id", "row", "col", water.cast("double").alias("_water")), ["area_id", "row", "col"], "left")
+             .fillna(0.0, ["_water"]))
+    field = G.upwind_value(field, wind, grids, value="smooth", also={"_water": "_upwind_water"})
+    f = (field.join(q, list(DAY_KEY)).join(base, list(CELL_KEY), "left")
          .join(cells.select(*CELL_KEY, F.col(value).isNotNull().alias("_valid")), list(CELL_KEY)))
-    ok = F.col("_valid") & F.coalesce("_land", F.lit(True))
+    ok = F.col("_valid") & (F.col("_water") == 0.0)
+    fair = F.coalesce(F.col("_upwind_water") <= C.UPWIND_WATER_SHARE, F.lit(True))  # clean sea air is no comparison
     s = F.col("smooth")
     over = lambda c: F.coalesce(s - F.col(c) > F.greatest(F.lit(15.0), 0.5 * F.col(c)), F.lit(False))
     f = (f.withColumn("exceedance", ok & (s > C.NAAQS_24H)).withColumn("spike", ok & over("baseline") & (s > F.col("_p75")))
-         .withColumn("local_source", ok & over("upwind") & (s > F.col("_p90"))))
+         .withColumn("local_source", ok & fair & over("upwind") & (s > F.col("_p90"))))
     flagged = f.where(F.col("exceedance") | F.col("spike")).select(*CELL_KEY, "smooth", "baseline", "upwind", "exceedance", "spike", "local_source")
     comp = label_components(flagged)
     peak = F.max(F.struct("smooth", (-F.col("row")).alias("nr"), (-F.col("col")).alias("nc"), "baseline", "upwind", "exceedance", "spike", "local_source")).alias("_p")
