@@ -145,18 +145,25 @@ def agg_22(t: Tables):
     return X.ambient_mass(regions(t), field(t), RES).select("region_id", r("ambient_mass").alias("ambient_mass"), r("turnover").alias("turnover"))
 
 
-@query("agg_21_region_flux", f"""
+def _region_flux(t: Tables):
+    c = X.corridor_flux(X.segment_flux(segments(t), field(t), RES))
+    return X.region_flux(c, X.ambient_mass(regions(t), field(t), RES))
+
+
+_REGION_FLUX = f"""
 WITH {_FLUX}, {_bilinear('mass_at', 'region_id, area').replace('bp AS', 'bp2 AS').replace('FROM bp)', 'FROM bp2)').replace('bk AS', 'bk2 AS').replace('FROM bk', 'FROM bk2').replace('smp AS', 'smp2 AS')},
 am AS (SELECT region_id, greatest(0.5E0, sum(greatest(0, no2) * (46.0055E0 * 1E-6) * area * 1E-6)) * 4.8E0 AS turnover FROM smp2 GROUP BY 1),
 rg AS (SELECT region_id, round(sum(inflow), 2) AS inflow, round(sum(outflow), 2) AS outflow FROM co GROUP BY 1),
-x AS (SELECT rg.*, greatest(5, turnover - (inflow - outflow)) AS local_source FROM rg JOIN am USING (region_id))
+x AS (SELECT rg.*, greatest(5, turnover - (inflow - outflow)) AS local_source FROM rg JOIN am USING (region_id))"""
+
+
+@query("agg_21_region_flux", f"""
+{_REGION_FLUX}
 SELECT region_id, inflow, outflow, round(inflow - outflow, 2) + 0 AS net, round(local_source, 4) AS local_source,
        round(inflow / (inflow + local_source) * 100, 4) AS external_raw_pct,
        greatest(12, least(88, round(inflow / (inflow + local_source) * 100, 1))) AS external_pct FROM x""")
 def agg_21c(t: Tables):
-    c = X.corridor_flux(X.segment_flux(segments(t), field(t), RES))
-    g = X.region_flux(c, X.ambient_mass(regions(t), field(t), RES))
-    return g.select("region_id", "inflow", "outflow", "net", r("local_source", 4).alias("local_source"),
+    return _region_flux(t).select("region_id", "inflow", "outflow", "net", r("local_source", 4).alias("local_source"),
                     r("external_raw_pct", 4).alias("external_raw_pct"), "external_pct")
 
 
@@ -182,13 +189,24 @@ b AS (SELECT *, greatest(0.2E0, cos(radians(clat))) AS cs, least(1, abs(flux) /
 c AS (SELECT *, (mid_lon - clon) * cs AS ex0, mid_lat - clat AS ny0, sqrt(pow((mid_lon - clon) * cs, 2) + pow(mid_lat - clat, 2)) AS rr FROM b),
 d AS (SELECT *, CASE WHEN rr < 0.02 THEN (CASE WHEN inn THEN -1 ELSE 1 END) * sin(radians(wto)) ELSE ex0 / rr END AS ex,
              CASE WHEN rr < 0.02 THEN (CASE WHEN inn THEN -1 ELSE 1 END) * cos(radians(wto)) ELSE ny0 / rr END AS ny,
-             CASE WHEN inn THEN 1.1E0 + 0.9E0 * weight ELSE -0.2E0 END AS d1 FROM c)
+             CASE WHEN inn THEN 1.1E0 + 0.9E0 * weight ELSE -0.2E0 END AS d1, CASE WHEN inn THEN -0.2E0 ELSE 1.1E0 + 0.9E0 * weight END AS d2 FROM c)
 SELECT region_id, corridor_id, round(weight, 6) AS weight, round(mid_lon + ex * d1 / cs, 6) AS lon, round(mid_lat + ny * d1, 6) AS lat,
-       round(mid_lon - 0.11E0 * sin(radians(wto)), 6) AS start_lon, round(mid_lat - 0.11E0 * cos(radians(wto)), 6) AS start_lat FROM d""")
+       round(mid_lon - 0.11E0 * sin(radians(wto)), 6) AS start_lon, round(mid_lat - 0.11E0 * cos(radians(wto)), 6) AS start_lat,
+       round(mid_lon + 0.11E0 * sin(radians(wto)), 6) AS end_lon, round(mid_lat + 0.11E0 * cos(radians(wto)), 6) AS end_lat,
+       round(mid_lon + ex * d2 / cs, 6) AS far_lon, round(mid_lat + ny * d2, 6) AS far_lat,
+       concat(corridor_id, ' · ', CASE WHEN inn THEN '+' ELSE '−' END, format('{{:,.1f}}', abs(flux)), ' t/d') AS label FROM d""")
 def snk_08(t: Tables):
     a = X.flux_arrows(X.corridor_flux(X.segment_flux(segments(t), field(t), RES)))
     return a.select("region_id", "corridor_id", r("weight").alias("weight"), r("display_start.lon").alias("lon"), r("display_start.lat").alias("lat"),
-                    r("start.lon").alias("start_lon"), r("start.lat").alias("start_lat"))
+                    r("start.lon").alias("start_lon"), r("start.lat").alias("start_lat"), r("end.lon").alias("end_lon"), r("end.lat").alias("end_lat"),
+                    r("display_end.lon").alias("far_lon"), r("display_end.lat").alias("far_lat"), "label")
+
+
+@query("snk_08_headline", f"""
+{_REGION_FLUX}
+SELECT region_id, concat(CAST(CAST(round(greatest(12, least(88, round(inflow / (inflow + local_source) * 100, 1)))) AS INT) AS VARCHAR), '% of region ', region_id, '''s NO₂ today arrived from neighbouring jurisdictions.') AS headline FROM x""")
+def snk_08b(t: Tables):
+    return X.headline(_region_flux(t))
 
 
 # --------------------------------------------------------------------------------------------- places

@@ -242,18 +242,27 @@ def _hm(a, b, c, d):
     return f"(12742000E0 * asin(least(1, sqrt(pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2)))))"
 
 
+def _plan_steps(k: str = "") -> str:
+    """Steps from the sites and bases of ``si`` to the plans of ``pi``; ``k`` ends the names of one round of flights."""
+    return f"""
+rt{k} AS (SELECT site_id, bla + (lat - bla) * k / 20E0 AS rla, blo + (lon - blo) * k / 20E0 AS rlo FROM si{k}, (SELECT unnest(range(21)) AS k) z),
+na{k} AS (SELECT site_id, min({_hm('rla', 'rlo', 'q.lat', 'q.lon')}) / 1000 AS km FROM rt{k}, pois q WHERE q.category = 'FACTORY' AND abs(q.lat - rla) < 0.2 AND abs(q.lon - rlo) < 0.2 GROUP BY 1),
+f1{k} AS (SELECT si{k}.*, {_hm('bla', 'blo', 'lat', 'lon')} AS d, (degrees(atan2(sin(radians(lon - blo)) * cos(radians(lat)), cos(radians(bla)) * sin(radians(lat)) - sin(radians(bla)) * cos(radians(lat)) * cos(radians(lon - blo)))) + 360) % 360 AS tr,
+   CASE WHEN km < 12 THEN km END AS km FROM si{k} LEFT JOIN na{k} USING (site_id)),
+f2{k} AS (SELECT *, w * cos(radians(wf - tr)) AS ho, w * sin(radians(wf - tr)) AS co, CASE WHEN km < 8 THEN 'yellow' WHEN km < 12 THEN 'yellow_8_12' ELSE 'green' END AS zone FROM f1{k}),
+f3{k} AS (SELECT *, greatest(2, sqrt(greatest(100 - co * co, 0)) - ho) AS go, greatest(2, sqrt(greatest(100 - co * co, 0)) + ho) AS gb, CASE WHEN zone = 'yellow_8_12' THEN 60E0 ELSE 80E0 END AS agl FROM f2{k}),
+ph{k} AS (SELECT *, [agl / 3, d / go, greatest(0, agl - 50) / 2, 2 * pi() * 150 * 2 / 10 * 1.15E0, greatest(0, agl - 50) / 3, d / gb, agl / 2 + 20] AS ts,
+   [209E0 + 1.6E0 * 9.81E0 * 3 / 0.6E0, 161.5E0 * (1 + 0.02E0 * greatest(ho, 0)), 152E0, 180.5E0, 209E0 + 1.6E0 * 9.81E0 * 3 / 0.6E0, 161.5E0 * (1 + 0.02E0 * greatest(-ho, 0)), 152E0] AS ws FROM f3{k}),
+pl{k} AS (SELECT *, list_sum(list_transform(ts, lambda x: round_even(x, 0))) AS total_s, list_sum(list_transform(range(1, 8), lambda i: round_even(ws[i] * ts[i] / 3600 / 14.8E0 * 1000, 0))) AS mah FROM ph{k}),
+pi{k} AS (SELECT *, 100 * (1 - mah / 5000) AS rem, list_filter([CASE WHEN w > 10 THEN 'wind' END, CASE WHEN mah > 4000 THEN 'battery' END, CASE WHEN zone = 'yellow' THEN 'airspace' END, CASE WHEN hazy THEN 'visibility' END], lambda x: x IS NOT NULL) AS issues FROM pl{k})"""
+
+
 _PLANS = f"""
-si AS (SELECT point_id AS site_id, area_id, lat, lon, CAST(point_id % 13 AS DOUBLE) AS w, CAST(point_id % 360 AS DOUBLE) AS wf, point_id % 11 = 0 AS hazy, north - 0.2E0 AS bla, west + 0.15E0 AS blo FROM points JOIN grids USING (area_id)),
-rt AS (SELECT site_id, bla + (lat - bla) * k / 20E0 AS rla, blo + (lon - blo) * k / 20E0 AS rlo FROM si, (SELECT unnest(range(21)) AS k) z),
-na AS (SELECT site_id, min({_hm('rla', 'rlo', 'q.lat', 'q.lon')}) / 1000 AS km FROM rt, pois q WHERE q.category = 'FACTORY' AND abs(q.lat - rla) < 0.2 AND abs(q.lon - rlo) < 0.2 GROUP BY 1),
-f1 AS (SELECT si.*, {_hm('bla', 'blo', 'lat', 'lon')} AS d, (degrees(atan2(sin(radians(lon - blo)) * cos(radians(lat)), cos(radians(bla)) * sin(radians(lat)) - sin(radians(bla)) * cos(radians(lat)) * cos(radians(lon - blo)))) + 360) % 360 AS tr,
-   CASE WHEN km < 12 THEN km END AS km FROM si LEFT JOIN na USING (site_id)),
-f2 AS (SELECT *, w * cos(radians(wf - tr)) AS ho, w * sin(radians(wf - tr)) AS co, CASE WHEN km < 8 THEN 'yellow' WHEN km < 12 THEN 'yellow_8_12' ELSE 'green' END AS zone FROM f1),
-f3 AS (SELECT *, greatest(2, sqrt(greatest(100 - co * co, 0)) - ho) AS go, greatest(2, sqrt(greatest(100 - co * co, 0)) + ho) AS gb, CASE WHEN zone = 'yellow_8_12' THEN 60E0 ELSE 80E0 END AS agl FROM f2),
-ph AS (SELECT *, [agl / 3, d / go, greatest(0, agl - 50) / 2, 2 * pi() * 150 * 2 / 10 * 1.15E0, greatest(0, agl - 50) / 3, d / gb, agl / 2 + 20] AS ts,
-   [209E0 + 1.6E0 * 9.81E0 * 3 / 0.6E0, 161.5E0 * (1 + 0.02E0 * greatest(ho, 0)), 152E0, 180.5E0, 209E0 + 1.6E0 * 9.81E0 * 3 / 0.6E0, 161.5E0 * (1 + 0.02E0 * greatest(-ho, 0)), 152E0] AS ws FROM f3),
-pl AS (SELECT *, list_sum(list_transform(ts, lambda x: round_even(x, 0))) AS total_s, list_sum(list_transform(range(1, 8), lambda i: round_even(ws[i] * ts[i] / 3600 / 14.8E0 * 1000, 0))) AS mah FROM ph),
-pi AS (SELECT *, 100 * (1 - mah / 5000) AS rem, list_filter([CASE WHEN w > 10 THEN 'wind' END, CASE WHEN mah > 4000 THEN 'battery' END, CASE WHEN zone = 'yellow' THEN 'airspace' END, CASE WHEN hazy THEN 'visibility' END], lambda x: x IS NOT NULL) AS issues FROM pl)"""
+si AS (SELECT point_id AS site_id, area_id, lat, lon, CAST(point_id % 13 AS DOUBLE) AS w, CAST(point_id % 360 AS DOUBLE) AS wf, point_id % 11 = 0 AS hazy, north - 0.2E0 AS bla, west + 0.15E0 AS blo FROM points JOIN grids USING (area_id)),{_plan_steps()}"""
+#: Flights of the sites out of reach, again from 3 km before them.
+_FORWARD = f"""
+si_again AS (SELECT site_id, area_id, lat, lon, w, wf, hazy, lat + (bla - lat) * (3 / (d / 1000)) AS bla, lon + (blo - lon) * (3 / (d / 1000)) AS blo
+             FROM pi WHERE list_contains(issues, 'battery') AND d / 1000 > 3),{_plan_steps("_again")}"""
 
 
 @query("txt_09_inspection_plans", f"""
@@ -264,6 +273,15 @@ def txt_09(t: Tables):
     return rr(p.select("site_id", "distance_km", "bearing", "headwind_out", "zone", "airport_km", "total_s", "total_mah", "remaining_pct", "issues", "decision"))
 
 
+@query("txt_09_forward_plans", f"""
+WITH {_PLANS}, {_FORWARD}, ag AS (SELECT site_id, mah, bla, blo,
+ CASE WHEN len(issues) = 0 THEN 'go' WHEN list_contains(issues, 'wind') OR list_contains(issues, 'battery') THEN 'no_go' ELSE 'conditional' END AS decision FROM pi_again)
+SELECT site_id, pi.issues, ag.decision AS forward_decision, ag.mah AS forward_mah, round(ag.bla, 6) AS forward_lat, round(ag.blo, 6) AS forward_lon FROM pi LEFT JOIN ag USING (site_id)""")
+def txt_09b(t: Tables):
+    p = T.inspection_plans(*_flight_inputs(t))
+    return rr(p.select("site_id", "issues", "forward_decision", "forward_mah", "forward_lat", "forward_lon"))
+
+
 @query("txt_11_deployment_decision", f"""
 WITH {_PLANS}, {_COMP}, pa AS (SELECT area_id, bool_and(zone <> 'yellow') AS aok, bool_and(rem >= 15) AS bok FROM pi GROUP BY 1),
 j AS (SELECT cc.*, coalesce(aok, true) AS aok, coalesce(bok, true) AS bok, wind_ms <= 10 AS wok, coalesce(haze_class <> 'dense', true) AS vok, classification <> 'advisory' AND n_anomalies > 0 AS needed FROM cc LEFT JOIN pa USING (area_id))
