@@ -6,9 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gridair.functions import quantiles
 from gridair.functions.quantiles import exact_quantiles
 from gridair.operators import cells as G
 from gridair.operators import models as M
+from gridair.operators import near
 from gridair.operators import spatial as Z
 from gridair.operators import stations as S
 from gridair.operators import text as T
@@ -30,6 +32,42 @@ def grid(spark, h, w, res=0.0025, west=72.8, north=19.0):
     return spark.createDataFrame([(0, west, north, res, w, h)], "area_id int, west double, north double, res double, width int, height int")
 
 
+def test_a_hot_slice_is_ranked_in_parts(spark):
+    """All values of the hot group lie in one slice of the first histogram: no part holds more than a few times the root of them."""
+    rng = np.random.default_rng(4)
+    values = [float(v) for v in 100.0 + rng.random(9000) * 1e-3]
+    df = spark.createDataFrame([(0, v) for v in values] + [(1, 5.0), (1, 7.0)], "k int, v double")
+    assert df.where("k = 0").select(quantiles._slice(F.col("v"))).distinct().count() == 1
+    parts = quantiles._part(F.col("v"), F.lit(min(values)), F.lit(max(values)), F.lit(95))
+    assert df.where("k = 0").groupBy(parts.alias("p")).count().agg(F.max("count")).first()[0] < 5 * 95
+    probs = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.999, "e": 1.0}
+    got = {r["k"]: r for r in exact_quantiles(df, ["k"], "v", probs).collect()}
+    assert [got[0][n] for n in probs] == pytest.approx(np.quantile(values, list(probs.values())), abs=1e-12)
+    assert got[1]["c"] == 6.0
+
+
+def test_neighbour_mean_keeps_small_values_beside_a_huge_one(spark):
+    sites = spark.createDataFrame([("a", 19.0, 72.8), ("b", 19.001, 72.8), ("c", 19.0, 72.801), ("d", 19.3, 72.8)], "station_id string, lat double, lon double")
+    obs = spark.createDataFrame([("a", 1e18), ("b", 2.0), ("c", 4.0), ("d", None)], "station_id string, no2 double").withColumn("day", F.lit("2024-01-01"))
+    got = {r["station_id"]: (r["m"], r["neighbours"]) for r in near.radius_mean(obs, sites, 100.0, "no2", "m").collect()}
+    assert got["a"] == (3.0, 2) and got["b"][1] == got["c"][1] == 2 and got["d"][1] == 3
+
+
+def test_air_off_open_water_is_no_upwind_comparison(spark):
+    h = w = 40
+    a = np.full((h, w), 40.0)
+    a[18:23, 22:27] = 300.0  # five kilometres east of the western half
+    cells = field(spark, a).withColumn("u10", F.lit(3.0)).withColumn("v10", F.lit(0.0)).withColumn("blh", F.lit(600.0))
+    spine = G.cell_spine(grid(spark, h, w)).select("area_id", "row", "col").withColumns({n: F.lit(0.0) for n in ("road_density", "night_lights", "ghsl_built", "power_plants")})
+    kinds = {}
+    for name, sea in (("land", -1), ("sea", 15)):
+        static = spine.withColumn("ndvi", F.when(F.col("col") < sea, -0.2).otherwise(0.4))
+        found = Z.anomalies(cells, grid(spark, h, w), static).collect()
+        assert len(found) == 1 and found[0]["upwind"] == pytest.approx(40.0, abs=1e-6)
+        kinds[name] = set(found[0]["kinds"])
+    assert kinds == {"land": {"exceedance", "local_source"}, "sea": {"exceedance"}}
+
+
 def test_quantiles_equal_numpy_with_a_hot_group(spark):
     rng = np.random.default_rng(1)
     rows = [(0, float(v)) for v in np.round(rng.normal(0, 50, 4000), 1)] + [(k, float(v)) for k in range(1, 6) for v in rng.lognormal(3, 2, 7)] + [(9, 4.0), (1, None)]
