@@ -2,7 +2,8 @@
 
 Every vector is represented by its nearest pivots in order.  Pivots' inverted files, one set for each shard of the
 vectors, list who has the pivot at which place.  A query adds up, over its own pivots' lists, the footrule distance
-between the two orders; the best share of each shard is ranked again by the exact distance.
+between the two orders; the best share of each shard is ranked again by the exact distance.  Queries come in blocks: a
+task holds one shard and one block, whatever the size of the table.
 
 Equal vectors are one entry of the index with its smallest id; the ids of the others are listed beside it, as many as
 a result can hold, so a vector shared by a third of all rows is no hot group.
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 
 from gridair.llm.common import spread_hash, written
 
-#: Pivots (a sample bounded by this number), pivots in an order, share and least number of each shard ranked again, entries of a shard.
-PIVOTS, PREFIX, SHARE, LEAST, SHARD = 256, 64, 0.15, 256, 8192
+#: Pivots (a sample bounded by this number), pivots in an order, share and least number of each shard ranked again, entries of a shard, queries of a block.
+PIVOTS, PREFIX, SHARE, LEAST, SHARD, BLOCK = 256, 64, 0.15, 256, 8192, 8192
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -98,16 +99,18 @@ def search(vectors: DataFrame, is_query: str = "vec_id % 100 = 0", k: int = 10,
     members = _smallest(members, k + 1).union(entries.where("n = 1").select("rep", F.col("rep").alias("vec_id")))
     members = written(members, "members")
     asked = written(rows.where(is_query).join(entries, "v").select("vec_id", "rep"), "queries")
-    blocks = (entries.join(asked.select("rep").distinct(), "rep", "left_semi").select("rep", "v")
-              .withColumn("block", F.xxhash64("rep").bitwiseAND(F.lit((1 << 40) - 1)) % max(1, n // 50_000))
-              .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))))
+    wanted = asked.select("rep").distinct()
+    blocks = max(1, -(-wanted.count() // BLOCK))
+    dealt = (entries.join(wanted, "rep", "left_semi").select("rep", "v", (F.xxhash64("rep").bitwiseAND(F.lit((1 << 40) - 1)) % blocks).cast("int").alias("block"))
+             .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))))
+    copies = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def find(right, left):
         if left.empty or right.empty:
             return pd.DataFrame({"query": [], "rep": [], "score": []})
         found = probe(left, np.stack(right["v"].to_numpy()).astype(np.float64), pivots, k + 1)
         return pd.DataFrame({"query": np.repeat(right["rep"].to_numpy(), [len(r) for r, _ in found]), "rep": np.concatenate([r for r, _ in found]), "score": np.concatenate([d for _, d in found])})
-    near = blocks.groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(find, "query long, rep long, score double")
+    near = dealt.groupBy("shard", "block").cogroup(copies.groupBy("shard", "block")).applyInPandas(find, "query long, rep long, score double")
     each = asked.select(F.col("vec_id").alias("query_id"), F.col("rep").alias("query")).join(near, "query").join(members, "rep").where("vec_id <> query_id")
     w = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return each.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -325,6 +325,19 @@ def test_packing(spark, odd, empty):
     assert sum(c * p.count(6) for c, p in found) == 3 and sum(c * p.count(1) for c, p in found) == 100 and all(sum(p) <= 10 for _, p in found)
 
 
+def test_permutation_index_in_blocks_of_queries_and_shards(spark, monkeypatch):
+    """Blocks and shards deal the work out; with every entry ranked again the result is the brute force's."""
+    monkeypatch.setattr(permutation_index, "BLOCK", 3)
+    monkeypatch.setattr(permutation_index, "SHARD", 50)
+    monkeypatch.setattr(permutation_index, "LEAST", 400)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 6)).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {(r.query_id, r["rank"]): r.vec_id for r in permutation_index.search(df, "vec_id % 20 = 0", 4).collect()}
+    far = lambda q: sorted((np.sqrt(((x[i] - x[q]) ** 2).sum()), i) for i in range(300) if i != q)[:4]
+    assert got == {(q, k + 1): i for q in range(0, 300, 20) for k, (_, i) in enumerate(far(q))}
+
+
 def test_permutation_index(spark):
     g = np.random.default_rng(5)
     x = g.normal(size=(900, 16)).astype(np.float32)
