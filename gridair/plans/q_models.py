@@ -97,6 +97,25 @@ def _station_columns(t: Tables):
     return d, t.stations_daily.select("station_id", "lat", "lon").distinct()
 
 
+@query("mod_03_holdout_scores")
+def mod_03b(t: Tables):
+    """The downscaler's scores on the last days, and the trees that they kept."""
+    found = M.fit_downscaler(M.cut_lineage(_coarse(t)), M.cut_lineage(_static_fine(t)), 2, DOWN)
+    return found.holdout.withColumn("trees", F.lit(found.trees))
+
+
+@query("mod_04_holdout_scores")
+def mod_04b(t: Tables):
+    """Scores of every member and of the fused value on the last days."""
+    return M.fit_ensemble(M.cut_lineage(_coarse(t)), M.cut_lineage(_static_fine(t)), 2, DOWN)[1]
+
+
+@query("mod_05_holdout_scores")
+def mod_05b(t: Tables):
+    """Scores of the station columns' forest on the hidden share of the clear values."""
+    return M.fill_station_columns(*_station_columns(t), trees=10, depth=8)[1]
+
+
 @query("mod_05_fill_station_columns")
 def mod_05(t: Tables):
     return M.fill_station_columns(*_station_columns(t), trees=10, depth=8)[0]
