@@ -243,10 +243,21 @@ def pixel_lags(dense: DataFrame, value: str = "no2") -> DataFrame:
 
 
 def median_mosaic(dense: DataFrame, windows: tuple[int, ...] = C.MOSAIC_WINDOWS, value: str = "no2") -> DataFrame:
-    """``mosaic``: centred rolling median of clear values, the first of the widening windows that holds any."""
-    w = _pixel_days()
-    tries = [F.percentile(value, 0.5).over(w.rowsBetween(-(n // 2), n // 2)) for n in windows]
-    return dense.withColumn("mosaic", F.coalesce(*tries))
+    """``mosaic``: centred rolling median of clear values, the first of the widening windows that holds any.
+
+    Each row gathers the clear days of the widest window once; a wider middle part is looked at only where the narrower
+    one is empty.
+    """
+    w, reach = _pixel_days(), max(windows) // 2
+    clear = F.when(F.col(value).isNotNull(), F.struct(F.col("_at").alias("at"), F.col(value).cast("double").alias("v")))
+    near = dense.withColumn("_at", F.row_number().over(w)).withColumn("_near", F.collect_list(clear).over(w.rowsBetween(-reach, reach)))
+
+    def middle(n: int) -> Column:
+        own = F.filter("_near", lambda t: F.abs(t["at"] - F.col("_at")) <= n // 2)
+        values = F.array_sort(F.transform(own, lambda t: t["v"]))
+        half = lambda a, k: F.get(a, F.floor((F.size(a) - k) / 2).cast("int")) * 0.5
+        return F.get(F.transform(F.array(values), lambda a: half(a, 1) + half(a, 0)), 0)
+    return near.withColumn("mosaic", F.coalesce(*[middle(n) for n in windows])).drop("_at", "_near")
 
 
 def recent_baseline(dense: DataFrame, days: int = C.SPIKE_BASELINE_DAYS, value: str = "no2", need: int = 3) -> DataFrame:
