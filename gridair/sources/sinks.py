@@ -26,9 +26,14 @@ def points_table(cells: DataFrame, grids: DataFrame, stride: int = 1, value: str
     return s.select("area_id", "day", significant(F.col("lon")).alias("lon"), significant(F.col("lat")).alias("lat"), significant(F.col(value)).alias(value))
 
 
+def by_folder(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Rows of a folder in one task, which opens its file once; folders are spread over as many tasks as the session shuffles into."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def write_points_csv(cells: DataFrame, grids: DataFrame, path: str, stride: int = 1) -> None:
-    """Point files per area and day, written in parallel."""
-    points_table(cells, grids, stride).write.mode("overwrite").partitionBy("area_id", "day").option("header", True).csv(path)
+    """Point files per area and day, written in parallel, a file a folder."""
+    by_folder(points_table(cells, grids, stride), ("area_id", "day")).write.mode("overwrite").partitionBy("area_id", "day").option("header", True).csv(path)
 
 
 def point_features(cells: DataFrame, grids: DataFrame, stride: int = 2, value: str = "no2") -> DataFrame:
@@ -55,8 +60,8 @@ def wind_features(cells: DataFrame, grids: DataFrame, stride: int = 10, seconds:
 
 
 def write_daily(df: DataFrame, path: str, keys: tuple[str, ...] = ("area_id", "day")) -> None:
-    """One folder per key; only the folders present in ``df`` are replaced."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path))
+    """One folder per key, with one file; only the folders present in ``df`` are replaced."""
+    (by_folder(df, keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path))
 
 
 def with_run_key(df: DataFrame, columns: list[str]) -> DataFrame:
