@@ -79,8 +79,9 @@ def str_02_merged(t: Tables):
     stream = J.latest_cells(in_order(t, sent, "batch", "granules"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "ts"], "400 days")
     folder = J.work_folder(t.spark, "merged")
     table = Refreshed(t.spark, f"{folder}/out", ["row", "col"], "ts", compact_every=8)
-    q = stream.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").foreachBatch(table.write).trigger(availableNow=True).start()
-    q.awaitTermination()
+    with J.state_store(t.spark, ROCKSDB, t.spark.sparkContext.defaultParallelism):
+        q = stream.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").foreachBatch(table.write).trigger(availableNow=True).start()
+        q.awaitTermination()
     return local(table.rows().select("row", "col", "ts", "no2", "n"), "ts")
 
 
@@ -165,8 +166,9 @@ def str_06(t: Tables):
     stream = in_order(t, arrived, "batch", "arrivals")
     t.spark.streams.addListener(counter)
     try:
-        q = keep_in_time(stream, f"{folder}/kept", ["event_id"], name, f"{folder}/state")
-        q.awaitTermination()
+        with J.state_store(t.spark, ROCKSDB, t.spark.sparkContext.defaultParallelism):
+            q = keep_in_time(stream, f"{folder}/kept", ["event_id"], name, f"{folder}/state")
+            q.awaitTermination()
         counter.settle(q)
     finally:
         t.spark.streams.removeListener(counter)

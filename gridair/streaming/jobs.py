@@ -80,17 +80,21 @@ def work_folder(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def state_store(spark: SparkSession, provider: str | None) -> Iterator[None]:
-    """Streams started inside keep their state in ``provider`` (the session's own if None)."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    if provider:
-        spark.conf.set(name, provider)
+def state_store(spark: SparkSession, provider: str | None, parts: int | None = None) -> Iterator[None]:
+    """Streams started inside keep their state in ``provider`` and in ``parts`` partitions (the session's own if None).
+
+    Every batch loads and commits each partition's state, however few rows it has; a stream of many small batches takes
+    about as many as there are cores.
+    """
+    wanted = {"spark.sql.streaming.stateStore.providerClass": provider, "spark.sql.shuffle.partitions": parts and str(parts)}
+    before = {k: spark.conf.get(k, None) for k, v in wanted.items() if v}
+    for k in before:
+        spark.conf.set(k, wanted[k])
     try:
         yield
     finally:
-        if provider:
-            spark.conf.set(name, before) if before else spark.conf.unset(name)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append", provider: str | None = None) -> DataFrame:
