@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gridair.operators import cells as G
 from gridair.operators import models as M
+from gridair.operators import places as P
 from gridair.session import ensure_checkpoint_dir
 from gridair.sources import sinks as W
 from gridair.streaming import jobs as J
@@ -63,3 +64,15 @@ def test_a_stream_keeps_its_state_in_the_parts_asked_for(spark, tmp_path):
         q.awaitTermination()
     assert len([d for d in os.listdir(tmp_path / "state" / "state" / "0") if d.isdigit()]) == 3
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_regions_meet_points_without_broadcast(spark):
+    """Two polygons with a hole each, a repeated point, and a plan that sends no unfolded side to the driver."""
+    ring = lambda region, polygon, ring, x, y, h: [(region, polygon, ring, k, x + h * a, y + h * b) for k, (a, b) in enumerate([(-1, -1), (1, -1), (1, 1), (-1, 1)])]
+    vertices = spark.createDataFrame([*ring(1, 0, 0, 0.0, 0.0, 5.0), *ring(1, 0, 1, 0.0, 0.0, 2.0), *ring(1, 1, 0, 3.0, 0.5, 4.0), *ring(1, 1, 1, 3.0, 0.5, 1.0), *ring(2, 0, 0, 50.0, 0.0, 3.0)],
+                                     "region_id int, polygon int, ring int, seq int, lon double, lat double")
+    points = spark.createDataFrame([(1, 0.1, 0.1), (2, 3.2, 0.6), (3, -4.5, 0.1), (4, 6.5, 0.6), (5, 49.1, 2.5), (6, 20.0, 0.0), (7, 49.1, 2.5), (7, 49.1, 2.5), (8, None, 1.0), (9, -1.5, 0.5)],
+                                   "id int, lon double, lat double")
+    found = P.points_in_regions(points, vertices, ["id"])
+    assert sorted(map(tuple, found.collect())) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 2)]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
