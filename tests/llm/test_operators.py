@@ -157,19 +157,43 @@ def test_hot_passage_and_common_line(spark):
 
 
 def test_copies_give_no_pairs_of_copies(spark):
-    row = "key long, uid long, start int, stop int, at int, sketch long, body long"
-    one, near, far = 0x0001_0002_0003_0004, 0x0001_0002_0009_0009, 0x0001_0007_0007_0007
-    rows = [(5, u, 3, 9, 4, one, 100) for u in range(500)] + [(5, u, 3, 9, 4, near, 200) for u in range(400, 900)] + [(5, 950, 0, 0, 0, far, 300), (6, 951, 0, 0, 0, one, 400)]
-    df = spark.createDataFrame(rows, row)
-    pairs = {(r.uid, r.first) for r in compact_windows.agreeing(df).collect()}
-    assert pairs == {(400, 0), (899, 0), (499, 400), (899, 499)}
-    beside = compact_windows.beside(df, ["key", "body"]).collect()
-    assert len(beside) == 1000 and all(r.same and r.uid != r["first"] for r in beside)
-    # Groups of the same document only are no pair; a group of two documents beside one of the first alone is.
-    alone = [(7, 1, 0, 5, 2, one, 1), (7, 1, 60, 65, 62, near, 2)]
-    assert compact_windows.agreeing(spark.createDataFrame(alone, row)).count() == 0
-    both = compact_windows.agreeing(spark.createDataFrame([*alone, (7, 8, 9, 14, 11, near, 2)], row)).collect()
-    assert [(r.uid, r["first"]) for r in both] == [(8, 1)]
+    row = "key long, uid long, start int, stop int, at int, body long"
+    rows = [(5, u, 3, 9, 4, 100) for u in range(500)] + [(5, u, 3, 9, 4, 200) for u in range(400, 900)] + [(5, 950, 0, 0, 0, 300), (6, 951, 0, 0, 0, 400)]
+    members = compact_windows.bodies(spark.createDataFrame(rows, row)).collect()
+    assert len([r for r in members if r["first"] is not None]) == 1000 and all(r.uid != r["first"] for r in members)
+    standing = spark.createDataFrame([tuple(r[c] for c in compact_windows.ROW) for r in members if r.key is not None], row)
+    assert sorted((r.uid, r.body) for r in standing.collect()) == [(0, 100), (400, 200), (950, 300)]
+    classes = lambda *pairs: spark.createDataFrame(list(pairs), "node long, root long")
+    pairs = lambda known: {(r.uid, r["first"]) for r in compact_windows.apart(standing, known).collect()}
+    assert pairs(classes((0, 0))) == {(400, 0), (950, 0), (950, 400)}
+    assert pairs(classes((0, 0), (400, 0))) == {(950, 0), (950, 400)} and not pairs(classes((0, 0), (400, 0), (950, 0)))
+
+
+def test_similar_texts_beside_every_pair(spark):
+    """Classes of texts with edited passages beside the sets of all pairs of passages; some are linked by others only."""
+    texts = []
+    for _ in range(25):
+        words = [f"w{rnd.randint(0, 10**9)}" for _ in range(51)]
+        for k in (0, 3, 5, 9):  # each differs from the one before more than from none, first and last by too much
+            words = [*words[:k], f"n{k}{rnd.randint(0, 10**9)}", *words[k + 1:]]
+            texts.append(" ".join([*(f"a{rnd.randint(0, 10**9)}" for _ in range(rnd.randint(0, 9))), *words]))
+        turned = words[20:50] + words[:20]
+        texts.append(" ".join(turned))
+    rnd.shuffle(texts)
+    sets = []
+    for t in texts:
+        w = t.split()
+        shingles = [tuple(w[i:i + 5]) for i in range(len(w) - 4)]
+        sets.append([set(shingles[i:i + 46]) for i in range(len(shingles) - 45)])
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if any(len(x & y) >= 0.8 * len(x | y) for x in sets[i] for y in sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    want = {i: r for i, r in enumerate(root) if root.count(r) > 1}
+    found = {r.doc_id: r.class_id for r in compact_windows.near_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert found == want and len(want) > 60
 
 
 def test_mix(spark, odd, empty):
