@@ -355,16 +355,22 @@ def gap_confidence(grid: DataFrame, width: int, cap: int = 8, value: str = "no2"
 def line_cells(lines: DataFrame, grids: DataFrame, step: float = 0.5) -> DataFrame:
     """Cells each line passes through, per area: ``lines(id, path)`` against every grid its box meets.
 
-    A segment is cut where it crosses the grid's lines; the middle of each piece names its cell.
+    A segment is cut where it crosses the grid's lines; the middle of each piece names its cell.  A segment and a grid
+    meet once, in the first tile that both have; the number of parts is given, so that no few tasks cut what many should.
     """
     seg = (lines.select("id", F.posexplode("path").alias("i", "p"), "path").where(F.col("i") < F.size("path") - 1)
            .select("id", "i", F.col("p.lon").alias("x0"), F.col("p.lat").alias("y0"), F.get("path", F.col("i") + 1)["lon"].alias("x1"), F.get("path", F.col("i") + 1)["lat"].alias("y1")))
     tiles = lambda a, b: F.sequence(F.floor(F.least(a, b) / step).cast("long"), F.floor(F.greatest(a, b) / step).cast("long"))
-    s = seg.withColumn("_tx", F.explode(tiles(F.col("x0"), F.col("x1")))).withColumn("_ty", F.explode(tiles(F.col("y0"), F.col("y1"))))
+    first = lambda a, b: F.floor(F.least(a, b) / step).cast("long")
+    s = (seg.withColumn("_fx", first(F.col("x0"), F.col("x1"))).withColumn("_fy", first(F.col("y0"), F.col("y1")))
+         .withColumn("_tx", F.explode(tiles(F.col("x0"), F.col("x1")))).withColumn("_ty", F.explode(tiles(F.col("y0"), F.col("y1")))))
     east, south = F.col("west") + F.col("width") * F.col("res"), F.col("north") - F.col("height") * F.col("res")
-    g = (grids.select("area_id", "west", "north", "res", "width", "height").withColumn("_tx", F.explode(tiles(F.col("west"), east)))
-         .withColumn("_ty", F.explode(tiles(south, F.col("north")))))
-    j = s.join(g, ["_tx", "_ty"]).drop("_tx", "_ty").distinct()
+    g = (grids.select("area_id", "west", "north", "res", "width", "height")
+         .withColumn("_gx", first(F.col("west"), east)).withColumn("_gy", first(south, F.col("north")))
+         .withColumn("_tx", F.explode(tiles(F.col("west"), east))).withColumn("_ty", F.explode(tiles(south, F.col("north")))))
+    once = (F.col("_tx") == F.greatest("_fx", "_gx")) & (F.col("_ty") == F.greatest("_fy", "_gy"))
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    j = s.join(g, ["_tx", "_ty"]).where(once).drop("_tx", "_ty", "_fx", "_fy", "_gx", "_gy").repartition(parts, "area_id", "id")
     gx = lambda x: (x - F.col("west")) / F.col("res")
     gy = lambda y: (F.col("north") - y) / F.col("res")
     j = j.withColumn("a0", gx(F.col("x0"))).withColumn("a1", gx(F.col("x1"))).withColumn("b0", gy(F.col("y0"))).withColumn("b1", gy(F.col("y1")))

@@ -6,6 +6,7 @@ import math
 from pyspark.sql import functions as F
 
 from gridair.operators import forecast as P
+from gridair.operators import spatial as Z
 
 GRID = "area_id int, west double, north double, res double, width int, height int"
 
@@ -48,3 +49,24 @@ def test_frames_are_those_of_a_plain_sum(spark):
         assert rows.columns == ["area_id", "day", "horizon", "row", "col", "value"]
         got = {tuple(r)[:5]: r.value for r in rows.collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_lines_are_cut_in_as_many_parts_as_given(spark):
+    """A line that meets a grid in several tiles is cut once, and its cells are not gathered in one part."""
+    point = lambda la, lo: f"named_struct('lat', {la}, 'lon', {lo})"
+    lines = spark.range(400).selectExpr("id", f"array({point('20.6D - id / 1000', '69.9D')}, {point('18.9D', '76.5D')}) as path")
+    grids = _grids(spark).withColumn("width", F.lit(40)).withColumn("height", F.lit(40))
+    cells = Z.line_cells(lines, grids)
+    most, total = _most(cells)
+    assert total == cells.distinct().count() > 5000 and most < total / 4
+
+
+def test_a_line_and_a_grid_over_many_tiles_meet_once(spark):
+    rows = spark.createDataFrame([(1, [(19.9, 70.1), (17.2, 73.3)]), (1, [(19.9, 70.1), (17.2, 73.3)]), (None, [(17.2, 73.3), (19.9, 70.1)]), (3, [(19.0, 71.0)])],
+                                 "id int, path array<struct<lat: double, lon: double>>")
+    grid = spark.createDataFrame([(0, 70.0, 20.0, 0.1, 40, 40), (0, 70.0, 20.0, 0.1, 40, 40)], GRID)
+    got = Z.line_cells(rows, grid).collect()
+    assert len(got) == len(set(got))
+    one = {(r.row, r.col) for r in got if r.id == 1}
+    want = {(math.floor((20.0 - la) / 0.1), math.floor((lo - 70.0) / 0.1)) for la, lo in ((19.9 - 2.7 * (k + 0.5) / 20000, 70.1 + 3.2 * (k + 0.5) / 20000) for k in range(20000))}
+    assert want <= one and len(one) <= len(want) + 2 and one == {(r.row, r.col) for r in got if r.id is None}
