@@ -2,7 +2,8 @@
 
 A provider writes a folder for each partition value (``area_id=3/day=2024-01-05/part-0.parquet``); the source knows the
 columns that each kind of table must have, lists the folders, keeps those that the filters on partition columns leave, and
-deals their files to tasks of about equal size.
+deals their files to tasks of about equal size.  A provider with many areas of few cells leaves a level out
+(``day=2024-01-05/part-0.parquet``): that column is then read, and its filters are applied, in the files.
 
     spark.dataSource.register(ProtocolSource)
     spark.read.format("gridair").option("kind", "satellite").load(folder).where("area_id = 3")
@@ -16,12 +17,13 @@ from dataclasses import dataclass
 from urllib.parse import unquote
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark.sql.datasource import (DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan,
                                     LessThanOrEqual)
 from pyspark.sql.types import StructType
 
-#: Columns of each kind of table: those of the files, then those of the folders.
+#: Columns of each kind of table: those of the files, then those of the folders (or of the files, where a level is left out).
 CONTRACTS = {
     "satellite": ("row int, col int, no2 double", "area_id int, day date"),
     "weather": ("row int, col int, u10 double, v10 double, blh double", "area_id int, day date"),
@@ -35,11 +37,11 @@ _NULL = "__HIVE_DEFAULT_PARTITION__"
 
 @dataclass
 class Files(InputPartition):
-    """Files of a task, with the values of their folders."""
+    """Files of a task, with the values of their folders by column."""
 
-    files: list[tuple[str, tuple]]
+    files: list[tuple[str, dict]]
 
-    def __init__(self, files: list[tuple[str, tuple]]):
+    def __init__(self, files: list[tuple[str, dict]]):
         super().__init__(len(files))
         self.files = files
 
@@ -67,6 +69,18 @@ def _passes(value, test: Filter) -> bool:
             LessThan: value < test.value, LessThanOrEqual: value <= test.value}[type(test)]
 
 
+def _mask(column: pa.Array, test: Filter) -> pa.Array:
+    """Which values of a column in a file pass; a missing value passes nothing."""
+    if isinstance(test, IsNotNull):
+        return column.is_valid()
+    if isinstance(test, In):
+        found = pc.is_in(column, value_set=pa.array([v for v in test.value if v is not None], column.type))
+    else:
+        compare = {EqualTo: pc.equal, GreaterThan: pc.greater, GreaterThanOrEqual: pc.greater_equal, LessThan: pc.less, LessThanOrEqual: pc.less_equal}[type(test)]
+        found = compare(column, pa.scalar(test.value, column.type))
+    return pc.and_(column.is_valid(), pc.fill_null(found, False))
+
+
 class ProtocolReader(DataSourceReader):
     """Reads the folders that pushed filters leave; a file without a column of the contract stops the read by name."""
 
@@ -90,16 +104,15 @@ class ProtocolReader(DataSourceReader):
         from pyarrow import fs
         store, root = _filesystem(self.path)
         found = []
-        level = [(root, ())]
+        level = [(root, {})]
         for name, kind in self.folders:
             below = []
             for folder, values in level:
-                for entry in store.get_file_info(fs.FileSelector(folder)):
-                    key, _, text = entry.base_name.partition("=")
-                    if entry.type == fs.FileType.Directory and key == name:
-                        value = _parsed(text, kind)
-                        if all(_passes(value, test) for column, test in self.tests if column == name):
-                            below.append((entry.path, (*values, value)))
+                parts = [(e.path, e.base_name.partition("=")) for e in store.get_file_info(fs.FileSelector(folder)) if e.type == fs.FileType.Directory]
+                named = [(path, _parsed(text, kind)) for path, (key, _, text) in parts if key == name]
+                below += [(path, {**values, name: value}) for path, value in named if all(_passes(value, test) for column, test in self.tests if column == name)]
+                if not named:
+                    below.append((folder, values))
             level = below
         for folder, values in level:
             found += [(e.path, values, e.size) for e in store.get_file_info(fs.FileSelector(folder)) if e.type == fs.FileType.File and e.base_name.endswith(".parquet")]
@@ -116,15 +129,19 @@ class ProtocolReader(DataSourceReader):
         whole = pa.schema([(name, _ARROW[kind]) for name, kind in self.columns + self.folders])
         store, _ = _filesystem(self.path)
         for path, values in partition.files:
+            inside = [name for name, _ in self.columns + self.folders if name not in values]
+            tests = [(column, test) for column, test in self.tests if column not in values]
             with store.open_input_file(path) as source:
                 file = pq.ParquetFile(source)
-                missing = [name for name, _ in self.columns if name not in file.schema_arrow.names]
+                missing = [name for name in inside if name not in file.schema_arrow.names]
                 if missing:
                     raise ValueError(f"{self.kind} table {path} is missing columns: {missing}")
-                for batch in file.iter_batches(columns=[name for name, _ in self.columns]):
-                    given = [batch.column(name).cast(whole.field(name).type) for name, _ in self.columns]
-                    told = [pa.array([v] * batch.num_rows, whole.field(name).type) for (name, _), v in zip(self.folders, values, strict=True)]
-                    yield pa.RecordBatch.from_arrays(given + told, schema=whole)
+                for batch in file.iter_batches(columns=inside):
+                    columns = [batch.column(f.name).cast(f.type) if f.name in inside else pa.array([values[f.name]] * batch.num_rows, f.type) for f in whole]
+                    rows = pa.RecordBatch.from_arrays(columns, schema=whole)
+                    for column, test in tests:
+                        rows = rows.filter(_mask(rows.column(column), test))
+                    yield rows
 
 
 class ProtocolSource(DataSource):
