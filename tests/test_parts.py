@@ -5,6 +5,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from gridair.operators import cells as G
 from gridair.operators import forecast as P
 from gridair.operators import spatial as Z
 
@@ -70,3 +71,10 @@ def test_a_line_and_a_grid_over_many_tiles_meet_once(spark):
     one = {(r.row, r.col) for r in got if r.id == 1}
     want = {(math.floor((20.0 - la) / 0.1), math.floor((lo - 70.0) / 0.1)) for la, lo in ((19.9 - 2.7 * (k + 0.5) / 20000, 70.1 + 3.2 * (k + 0.5) / 20000) for k in range(20000))}
     assert want <= one and len(one) <= len(want) + 2 and one == {(r.row, r.col) for r in got if r.id is None}
+
+
+def test_fine_cells_are_refined_in_as_many_parts_as_given(spark):
+    """The lines of few areas were sorted in one part, with all that is around each cell."""
+    fine = G.upsample_bilinear(_cells(spark, 64), 2, ["no2", "u10"])
+    most, total = _most(fine)
+    assert total == 64 * 400 and most < total / 2
