@@ -70,67 +70,66 @@ def radius_mean(obs: DataFrame, sites: DataFrame, km: float, value: str, name: s
     of buckets whose farthest corners are inside the radius contributes bucket-day totals; pairs that straddle
     the radius are settled site by site.  Of a site's own bucket the other places are added up from both ends, so
     that nothing is subtracted; readings at the very same coordinates don't count.
+
+    Places and buckets meet in wide cells, day by day: a cell is twice as wide as the reach, so a bucket's day is sent
+    to four of them.  Pairs are added up where they meet; what is shuffled grows with the readings, not with the pairs.
     """
     dy = km / C.STATION_KM_LAT / splits
     around_globe = max(1, math.floor(360.0 / dy))
     dx = 360.0 / around_globe
     src = sites.select("station_id", "lat", "lon").withColumn("_y", _bucket(F.col("lat"), dy)).withColumn(
         "_x", F.least(_bucket(_east(F.col("lon")), dx), F.lit(around_globe - 1)))
-    buckets = src.select("_y", "_x").distinct()
-    reach_y = splits + 1
-    # Longitude reach grows with latitude, up to half the globe at the poles; taken from the bucket's own row.
-    edge = (F.abs(F.col("_y")) + reach_y + 2) * dy
-    half = math.ceil(around_globe / 2)
-    reach_x = F.when(edge < 90.0, F.least(F.lit(half), F.ceil(F.lit(km) / (C.STATION_KM_LON * F.cos(F.radians(edge))) / dx) + 1)).otherwise(half).cast("int")
-    around = (buckets
-              .withColumn("_j", F.explode(F.sequence(F.lit(-reach_y), F.lit(reach_y))))
-              .withColumn("_i", F.explode(F.sequence(-reach_x, reach_x)))
-              .select("_y", "_x", (F.col("_y") + F.col("_j")).alias("_ty"), F.pmod(F.col("_x") + F.col("_i"), F.lit(around_globe)).alias("_tx"))
-              .distinct()
-              .join(buckets.select(F.col("_y").alias("_ty"), F.col("_x").alias("_tx")), ["_ty", "_tx"], "left_semi"))
-    # Bounds of the distance between any two points of the buckets; the cosine is largest nearest the equator.
-    lat_lo = F.least(F.abs(F.col("_y") * dy), F.abs((F.col("_y") + 1) * dy))
-    lat_lo = F.when((F.col("_y") < 0) != (F.col("_y") + 1 <= 0), F.lit(0.0)).otherwise(lat_lo)
-    lat_hi = F.greatest(F.abs(F.col("_y") * dy), F.abs((F.col("_y") + 1) * dy))
-    gap_y, straight = F.abs(F.col("_ty") - F.col("_y")), F.abs(F.col("_tx") - F.col("_x"))
-    gap_x = F.least(straight, around_globe - straight)
-    far = F.sqrt(F.pow((gap_y + 1) * dy * C.STATION_KM_LAT, F.lit(2))
-                 + F.pow((gap_x + 1) * dx * C.STATION_KM_LON * F.cos(F.radians(lat_lo)), F.lit(2)))
-    close = F.sqrt(F.pow(F.greatest(gap_y - 1, F.lit(0)) * dy * C.STATION_KM_LAT, F.lit(2))
-                   + F.pow(F.greatest(gap_x - 1, F.lit(0)) * dx * C.STATION_KM_LON * F.cos(F.radians(F.least(lat_hi, F.lit(90.0)))), F.lit(2)))
-    pairs = (around.where((gap_y > 0) | (gap_x > 0)).withColumn("_inside", far < km * (1 - 1e-9)).where(F.col("_inside") | (close < km * (1 + 1e-9))))
-
     # The station's own coordinates come from ``sites`` so that one station cannot sit in two buckets.
-    rows = (obs.where(F.col(value).isNotNull() & ~F.isnan(value)).select("station_id", "day", value)  # one NaN would reach all around
-            .join(src, "station_id"))
-    per_bucket = rows.groupBy("_y", "_x", "day").agg(F.sum(value).alias("_s"), F.count(value).alias("_c"))
-    per_place = rows.groupBy("lat", "lon", "_y", "_x", "day").agg(F.sum(value).alias("_s"), F.count(value).alias("_c"))
-
-    inside = (pairs.where("_inside").select("_y", "_x", F.col("_ty"), F.col("_tx"))
-              .join(per_bucket.select(F.col("_y").alias("_ty"), F.col("_x").alias("_tx"), "day", "_s", "_c"),
-                    ["_ty", "_tx"])
-              .groupBy("_y", "_x", "day").agg(F.sum("_s").alias("_is"), F.sum("_c").alias("_ic")))
-    # Straddling buckets: distinct places of one bucket against distinct places of the other.
-    places = src.select("lat", "lon", "_y", "_x").distinct()
-    other = places.select(F.col("lat").alias("_olat"), F.col("lon").alias("_olon"), F.col("_y").alias("_ty"),
-                          F.col("_x").alias("_tx"))
-    edge_pairs = (pairs.where(~F.col("_inside")).join(places, ["_y", "_x"]).join(other, ["_ty", "_tx"])
-                  .where(geo.flat_km(F.col("lat"), F.col("lon"), F.col("_olat"), F.col("_olon")) < km))
-    border = (edge_pairs.select("lat", "lon", "_olat", "_olon")
-              .join(per_place.select(F.col("lat").alias("_olat"), F.col("lon").alias("_olon"), "day", "_s", "_c"),
-                    ["_olat", "_olon"])
-              .groupBy("lat", "lon", "day").agg(F.sum("_s").alias("_es"), F.sum("_c").alias("_ec")))
-    # A bucket is inside itself (its diagonal is far below the radius): its other places are those before and after the own one.
-    days = obs.select("station_id", "day").distinct().join(src, "station_id")
-    in_bucket = days.select("lat", "lon", "_y", "_x", "day").distinct().join(per_place, ["lat", "lon", "_y", "_x", "day"], "left")
+    rows = obs.select("station_id", "day", value).join(src, "station_id")
+    known = F.when(~F.isnan(value), F.col(value))  # one NaN would reach all around
     zero, none = F.lit(0), F.lit(0.0)
     own = Window.partitionBy("_y", "_x", "day").rowsBetween(Window.unboundedPreceding, -1)
     ends = own.orderBy("lat", "lon"), own.orderBy(F.desc("lat"), F.desc("lon"))
     beside = lambda c, of: sum((F.coalesce(F.sum(c).over(w), of) for w in ends), of)
-    own_bucket = in_bucket.select("lat", "lon", "day", beside("_s", none).alias("_bs"), beside("_c", zero).alias("_bc"))
-    total = F.coalesce("_is", none) + F.coalesce("_es", none) + F.coalesce("_bs", none)
-    count = F.coalesce("_ic", zero) + F.coalesce("_ec", zero) + F.coalesce("_bc", zero)
-    return (days.join(inside, ["_y", "_x", "day"], "left").join(border, ["lat", "lon", "day"], "left")
-            .join(own_bucket, ["lat", "lon", "day"], "left")
-            .select("station_id", "day", F.when(count > 0, total / F.nullif(count, zero)).alias(name),
+    # A bucket is inside itself (its diagonal is far below the radius): its other places are those before and after the own one.
+    parts = int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at_place = (rows.dropna(subset=["day", "lat", "lon"]).repartition(parts, "_y", "_x", "day").groupBy("_y", "_x", "day", "lat", "lon")
+                .agg(F.sum(known).alias("_s"), F.count(known).alias("_c")))
+    places = at_place.select("_y", "_x", "day", "lat", "lon", beside("_s", none).alias("_bs"), beside("_c", zero).alias("_bc"))
+    place = F.struct(F.col("lat").alias("a"), F.col("lon").alias("o"), F.col("_s").alias("s"), F.col("_c").alias("c"))
+    buckets = at_place.where(F.col("_c") > 0).groupBy(F.col("_y").alias("_ty"), F.col("_x").alias("_tx"), "day").agg(
+        F.sum("_s").alias("_ts"), F.sum("_c").alias("_tc"), F.collect_list(place).alias("_q"))
+
+    # Cells: a bucket's middle is at most half a bucket farther than its places.
+    reach = 2 * km * (1 + 1 / splits)
+    height, n = _bands(reach)
+    at_y, at_x = (F.col("lat") + 90.0) / height, _east(F.col("lon")) / 360.0
+    last = lambda c, size: F.greatest(F.lit(0), F.least(F.floor(c).cast("long"), size - 1))
+    p = (places.withColumn("_by", last(at_y, F.lit(n))).withColumn("_bx", last(at_x * _cells(F.col("_by"), height, reach), _cells(F.col("_by"), height, reach)))
+         .repartition(parts, "_by", "_bx", "day"))
+    mid_y, mid_x = ((F.col("_ty") + 0.5) * dy + 90.0) / height, (F.col("_tx") + 0.5) * dx / 360.0
+    halves = F.array(F.lit(-0.5), F.lit(0.5))
+    round_it = _cells(F.col("_by"), height, reach)
+    s = (buckets.withColumn("_by", F.explode(F.array_distinct(F.transform(halves, lambda h: last(mid_y + h, F.lit(n))))))
+         .withColumn("_bx", F.explode(F.array_distinct(F.transform(halves, lambda h: F.pmod(F.floor(mid_x * round_it + h).cast("long"), round_it)))))
+         .repartition(parts, "_by", "_bx", "day"))
+
+    # Bounds of the distance between any two points of the buckets; the cosine is largest nearest the equator.
+    low, high = F.abs(F.col("_y") * dy), F.abs((F.col("_y") + 1) * dy)
+    lat_lo = F.when((F.col("_y") < 0) != (F.col("_y") + 1 <= 0), F.lit(0.0)).otherwise(F.least(low, high))
+    wide = lambda lat: F.lit(dx * C.STATION_KM_LON) * F.cos(F.radians(lat))
+    p = p.withColumn("_widest", wide(lat_lo)).withColumn("_least", wide(F.least(F.greatest(low, high), F.lit(90.0))))
+    gap_y, straight = F.abs(F.col("_ty") - F.col("_y")), F.abs(F.col("_tx") - F.col("_x"))
+    gap_x = F.least(straight, around_globe - straight)
+    square = lambda c: c * c
+    far = F.sqrt(square((gap_y + 1) * (dy * C.STATION_KM_LAT)) + square((gap_x + 1) * F.col("_widest")))
+    close = F.sqrt(square(F.greatest(gap_y - 1, zero) * (dy * C.STATION_KM_LAT)) + square(F.greatest(gap_x - 1, zero) * F.col("_least")))
+    inside = far < km * (1 - 1e-9)
+    met = ((p["_by"] == s["_by"]) & (p["_bx"] == s["_bx"]) & (p["day"] == s["day"])
+           & ((gap_y > 0) | (gap_x > 0)) & (inside | (close < km * (1 + 1e-9))))
+    whole = F.struct(F.lit(None).cast("double").alias("a"), F.lit(None).cast("double").alias("o"), F.col("_ts").alias("s"), F.col("_tc").alias("c"))
+    pairs = (p.join(s, met, "left").select(p["_by"], p["_bx"], p["day"], "lat", "lon", "_bs", "_bc", F.explode_outer(F.when(inside, F.array(whole)).otherwise(F.col("_q"))).alias("_o")))
+    counts = F.col("_o.a").isNull() | (geo.flat_km(F.col("lat"), F.col("lon"), F.col("_o.a"), F.col("_o.o")) < km)
+    found = pairs.groupBy("_by", "_bx", "day", "lat", "lon").agg(
+        (F.coalesce(F.sum(F.when(counts, F.col("_o.s"))), none) + F.any_value("_bs")).alias("_total"),
+        (F.coalesce(F.sum(F.when(counts, F.col("_o.c"))), zero) + F.any_value("_bc")).alias("_count"))
+    days = obs.select("station_id", "day").distinct().join(src.select("station_id", "lat", "lon"), "station_id")
+    count = F.coalesce("_count", zero)
+    return (days.join(found.drop("_by", "_bx"), ["lat", "lon", "day"], "left")
+            .select("station_id", "day", F.when(count > 0, F.col("_total") / F.nullif(count, zero)).alias(name),
                     count.alias("neighbours")))

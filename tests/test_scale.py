@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gridair.operators import cells as G
 from gridair.operators import models as M
 from gridair.operators import places as P
+from gridair.operators import stations as S
 from gridair.session import ensure_checkpoint_dir
 from gridair.sources import sinks as W
 from gridair.streaming import jobs as J
@@ -76,3 +77,27 @@ def test_regions_meet_points_without_broadcast(spark):
     found = P.points_in_regions(points, vertices, ["id"])
     assert sorted(map(tuple, found.collect())) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 2)]
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def _records_shuffled(plan):
+    """Records that all exchanges of an executed plan have written."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return _records_shuffled(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return _records_shuffled(plan.plan())
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0
+    children = plan.children()
+    return own + sum(_records_shuffled(children.apply(i)) for i in range(children.size()))
+
+
+def test_neighbour_means_shuffle_readings_and_no_pairs(spark):
+    """With ten times the stations in the same place there are a hundred times the pairs, but no more rows a reading to deal out."""
+    shuffled = {}
+    for n in (60, 600):
+        sites = spark.range(n).selectExpr("concat('S', id) station_id", f"19 + (id * 7919 % {n}) / {n}.0D * 1.5 lat", f"73 + (id * 104729 % {n}) / {n}.0D * 1.5 lon")
+        obs = sites.crossJoin(spark.range(4).selectExpr("date_add(date'2024-01-01', cast(id as int)) day")).selectExpr("station_id", "day", "cast(length(station_id) as double) no2")
+        got = S.neighbour_mean(obs, sites, 100.0)
+        assert len(got.collect()) == 4 * n
+        shuffled[n] = _records_shuffled(got._jdf.queryExecution().executedPlan())
+    assert all(shuffled[n] < 8 * 4 * n for n in shuffled), shuffled
