@@ -101,3 +101,31 @@ def test_neighbour_means_shuffle_readings_and_no_pairs(spark):
         assert len(got.collect()) == 4 * n
         shuffled[n] = _records_shuffled(got._jdf.queryExecution().executedPlan())
     assert all(shuffled[n] < 8 * 4 * n for n in shuffled), shuffled
+
+
+def test_surface_features_of_stations_are_dealt_out_once(spark):
+    """Fine cells of all days go to their pixel and stay there: neither the mean over the days nor the stations move them again."""
+    days, areas, width = 6, 3, 8
+    grids = spark.createDataFrame([(a, 70.0 + a, 20.0, 0.1, width, width) for a in range(areas)], "area_id int, west double, north double, res double, width int, height int")
+    coarse = (G.cell_spine(grids).select("area_id", "row", "col").crossJoin(spark.range(days).selectExpr("date_add(date'2024-01-01', cast(id as int)) day"))
+              .selectExpr("area_id", "day", "row", "col", "cast(1 + row * 3 + col + dayofmonth(day) as double) no2_filled", "500D + col blh", "1D u10", "2D v10", "cast(row % 2 as int) fill_flag"))
+    fine_grids = G.refine(grids, 2)
+    static = G.cell_spine(fine_grids).select("area_id", "row", "col", (F.col("row") * 100 + F.col("col")).cast("double").alias("population"))
+    obs = spark.createDataFrame([("a", 0, 19.99, 70.01, 1, 5.0), ("a", 0, 19.99, 70.01, 3, 6.0), ("b", 2, 19.26, 72.31, 2, 7.0), ("b", 2, 19.26, 72.31, 40, 8.0), ("c", 1, 19.9, 75.0, 1, 9.0)],
+                                "station_id string, area_id int, lat double, lon double, d int, no2 double").withColumn("day", F.expr("date_add(date'2024-01-01', d - 1)")).drop("d")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        column = G.upsample_bilinear(coarse.withColumnRenamed("no2_filled", "column"), 2, ["column"])
+        want = {(r.area_id, r.day, r.row, r.col): r.column for r in column.collect()}
+        table = M.station_table(M.surface_features(column, coarse, static, 2), obs, fine_grids)
+        rows = table.collect()
+        shuffled = _records_shuffled(table._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted((r.station_id, r.day.day, r.row, r.col, r.no2) for r in rows) == [("a", 1, 0, 0, 5.0), ("a", 3, 0, 0, 6.0), ("b", 2, 14, 6, 7.0)]
+    for r in rows:
+        assert r.column == want[r.area_id, r.day, r.row, r.col] and r.population == r.row * 100 + r.col
+        days_of_pixel = [v for k, v in want.items() if (k[0], k[2], k[3]) == (r.area_id, r.row, r.col)]
+        assert len(days_of_pixel) == days and abs(r.pbl_conc_anom / (r.column - np.mean(days_of_pixel)) - r.pbl_conc / r.column) < 1e-9
+    assert shuffled < 3.5 * len(want), (shuffled, len(want))
