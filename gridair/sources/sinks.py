@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +33,104 @@ def by_folder(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def _plain_folder(df: DataFrame, path: str) -> str | None:
+    """``path`` as a folder of a mounted file system that driver and executors share; None in any other store, which Spark's own writer serves."""
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toUri()
+    return uri.getPath() if uri.getScheme() == "file" else None
+
+
+def _write_folders(df: DataFrame, path: str, keys: tuple[str, ...], header: str | None = None, replace_all: bool = False) -> None:
+    """Rows of each key as one file of its folder ``key=value/...``: Parquet, or with a ``header`` the text lines of the only other column.
+
+    Tasks write the files beside the folders and list them; only when all are there, tasks put the listed ones into their
+    folders and remove what these held.  So a run that fails while it writes changes nothing, a task run again does no harm, and no step goes
+    through the folders one by one on the driver.
+    """
+    spark, run = df.sparkSession, uuid.uuid4().hex
+    staged, name = f"{path}/_staged-{run}", f"part-{run}.{'parquet' if header is None else 'csv'}"
+    fields = [c for c in df.columns if c not in keys]
+    marks = [f"_key{i}" for i in range(len(keys))]
+    # Spark's folder of a null and of an empty text are the same.
+    rows = df.select(*[F.nullif(F.col(k).cast("string"), F.lit("")).alias(m) for k, m in zip(keys, marks, strict=True)], *fields)
+    rows = by_folder(rows, tuple(marks)).sortWithinPartitions(*marks)
+
+    def write(batches):
+        import os
+        import re
+
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        def folder(values):
+            escaped = lambda v: re.sub("[\x01-\x1f\"#%'*/:=?\\\\\x7f{\\[\\]^]", lambda m: f"%{ord(m[0]):02X}", v)
+            return "/".join(f"{escaped(k)}={escaped(v) if v else '__HIVE_DEFAULT_PARTITION__'}" for k, v in zip(keys, values, strict=True))
+        mine, now, out, listed, n = f"{staged}/{uuid.uuid4().hex}", None, None, [], 0
+        os.makedirs(mine, exist_ok=True)
+        for batch in batches:
+            codes = [c.dictionary_encode(null_encoding="encode").indices.to_numpy() for c in batch.columns[:len(keys)]]
+            cuts = [0, *(np.flatnonzero(np.any([np.diff(c) != 0 for c in codes], axis=0)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+            own = pa.Table.from_batches([batch]).drop_columns(marks)
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                to = folder([c[a].as_py() for c in batch.columns[:len(keys)]])
+                if to != now:
+                    if out is not None:
+                        out.close()
+                    now, n = to, n + 1
+                    listed.append((to, f"{mine}/{n}"))
+                    if header is None:
+                        out = pq.ParquetWriter(f"{mine}/{n}", own.schema, compression="snappy", store_schema=False)
+                    else:
+                        out = open(f"{mine}/{n}", "w", encoding="utf-8", newline="")
+                        out.write(header + "\n")
+                part = own.slice(a, b - a)
+                if header is None:
+                    out.write_table(part)
+                else:
+                    out.write("".join(f"{line}\n" for line in part.column(0).to_pylist()))
+        if out is not None:
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in listed], pa.string()) for i in range(2)], ["folder", "file"])
+
+    def place(batches):
+        import os
+
+        for batch in batches:
+            for folder, file in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                to = f"{path}/{folder}"
+                os.makedirs(to, exist_ok=True)
+                if os.path.exists(file) or not os.path.exists(f"{to}/{name}"):  # else this was done by a task that ran before
+                    os.replace(file, f"{to}/{name}")
+                for old in os.listdir(to):
+                    if old != name and not os.path.isdir(f"{to}/{old}"):
+                        os.remove(f"{to}/{old}")
+            yield batch.slice(0, 0)
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    store = at(f"file://{path}").getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        rows.mapInArrow(write, "folder string, file string").write.parquet(f"file://{staged}/_list")
+        if replace_all:
+            for s in store.listStatus(at(f"file://{path}")):
+                if s.getPath().getName() != f"_staged-{run}":
+                    store.delete(s.getPath(), True)
+        listed = spark.read.schema("folder string, file string").parquet(f"file://{staged}/_list")
+        by_folder(listed, ("folder",)).mapInArrow(place, "folder string, file string").write.format("noop").mode("overwrite").save()
+        store.create(at(f"file://{path}/_SUCCESS"), True).close()
+    finally:
+        store.delete(at(f"file://{staged}"), True)
+
+
 def write_points_csv(cells: DataFrame, grids: DataFrame, path: str, stride: int = 1) -> None:
-    """Point files per area and day, written in parallel, a file a folder."""
-    by_folder(points_table(cells, grids, stride), ("area_id", "day")).write.mode("overwrite").partitionBy("area_id", "day").option("header", True).csv(path)
+    """Point files per area and day, written in parallel, a file a folder; what ``path`` held before is gone."""
+    keys, points = ("area_id", "day"), points_table(cells, grids, stride)
+    if (to := _plain_folder(cells, path)) is None:
+        by_folder(points, keys).write.mode("overwrite").partitionBy(*keys).option("header", True).csv(path)
+        return
+    fields = [c for c in points.columns if c not in keys]
+    lines = points.select(*keys, F.to_csv(F.struct(*fields)).alias("line"))
+    _write_folders(lines, to, keys, ",".join(fields), replace_all=True)
 
 
 def point_features(cells: DataFrame, grids: DataFrame, stride: int = 2, value: str = "no2") -> DataFrame:
@@ -61,6 +158,9 @@ def wind_features(cells: DataFrame, grids: DataFrame, stride: int = 10, seconds:
 
 def write_daily(df: DataFrame, path: str, keys: tuple[str, ...] = ("area_id", "day")) -> None:
     """One folder per key, with one file; only the folders present in ``df`` are replaced."""
+    if (to := _plain_folder(df, path)) is not None:
+        _write_folders(df, to, keys)
+        return
     (by_folder(df, keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path))
 
 
