@@ -28,41 +28,46 @@ class History(StatefulProcessor):
         self.turns = handle.getListState("turns", "ts bigint, turn bigint", ttl)
         self.count = handle.getValueState("messages", "n bigint", ttl)
 
-    def _row(self, key, n: int, kept: list[tuple[int, int]], expired: bool) -> pd.DataFrame:
-        return pd.DataFrame({"conv_id": [int(key[0])], "messages": [n], "kept": [len(kept)], "first_turn": [kept[0][1]], "last_turn": [kept[-1][1]],
-                             "last_ts": [pd.Timestamp(kept[-1][0], unit="us")], "expired": [expired]})
+    def _row(self, key, n: int, kept: list[tuple[int, int]], expired: bool) -> tuple:
+        return int(key[0]), n, len(kept), kept[0][1], kept[-1][1], kept[-1][0], expired
+
+    def _rows(self, rows: list[tuple]) -> pd.DataFrame:
+        """All rows of a key in one frame: a frame for each costs far more than the row."""
+        out = pd.DataFrame(rows, columns=["conv_id", "messages", "kept", "first_turn", "last_turn", "last_ts", "expired"])
+        out["last_ts"] = pd.to_datetime(out["last_ts"], unit="us")
+        return out
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = [(int(ts), int(turn)) for ts, turn in self.turns.get()]
-        n = int(self.count.get()[0]) if self.count.exists() and held else 0
+        n = int(self.count.get()[0]) if held and self.count.exists() else 0
         new = set()
         for pdf in rows:
             new.update(zip(pdf["ts"].astype("datetime64[us]").astype("int64").tolist(), pdf["turn"].tolist(), strict=True))
         new = sorted(new.difference(held))
         if not new:
             return
-        run, n = sorted(held + new), n + len(new)
+        run, n, out = sorted(held + new), n + len(new), []
         if not self.by_clock:
             # Every idle stretch ends a session; its turns so far are counted from the back.
             cuts = [i for i in range(1, len(run)) if run[i][0] - run[i - 1][0] >= self.idle * 1000]
             before = n - len(run)  # turns of the first session that are no longer held
             for a, b in zip([0, *cuts], cuts, strict=False):
-                yield self._row(key, b - a + (before if a == 0 else 0), run[a:b][-self.keep:], True)
+                out.append(self._row(key, b - a + (before if a == 0 else 0), run[a:b][-self.keep:], True))
             if cuts:
                 run = run[cuts[-1]:]
                 n = len(run)
-            for timer in list(self.handle.listTimers()):
+            for timer in list(self.handle.listTimers()) if held else ():  # no turn, no timer
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(-(-run[-1][0] // 1000) + self.idle)
         run = run[-self.keep:]
         self.turns.put(run)
         self.count.update((n,))
-        yield self._row(key, n, run, False)
+        yield self._rows([*out, self._row(key, n, run, False)])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         held = [(int(ts), int(turn)) for ts, turn in self.turns.get()]
         if held:
-            yield self._row(key, int(self.count.get()[0]), held, True)
+            yield self._rows([self._row(key, int(self.count.get()[0]), held, True)])
         self.turns.clear()
         self.count.clear()
 
