@@ -17,7 +17,7 @@ def _cells(spark, areas=3):
 
 
 def test_a_failed_run_leaves_what_was_there(spark, tmp_path):
-    """Spark's overwrite has removed the old folders by the time a task fails."""
+    """A run that fails replaces nothing and leaves no staged files; one that ends replaces all."""
     grids = spark.createDataFrame([(a, 60.0, 30.0, 0.035, 30, 200) for a in range(3)], GRID)
     path = str(tmp_path / "csv")
     W.write_points_csv(_cells(spark), grids, path)
@@ -50,3 +50,12 @@ def test_folders_and_rows_are_those_of_sparks_own_writer(spark, tmp_path):
         W.write_daily(more, str(tmp_path / kind), keys)
         after = spark.read.parquet(str(tmp_path / kind))
         assert after.count() == rows.count() and after.where("v = -1").count() == 5
+
+
+def test_spark_has_no_folder_to_commit(spark, tmp_path, monkeypatch):
+    """Its committer goes through the folders one by one on the driver."""
+    def called(*_):
+        raise AssertionError("partitioned by Spark's writer")
+    monkeypatch.setattr("pyspark.sql.readwriter.DataFrameWriter.partitionBy", called)
+    W.write_daily(_cells(spark), str(tmp_path / "daily"))
+    assert spark.read.parquet(str(tmp_path / "daily")).count() == 3000
